@@ -154,10 +154,10 @@ def collect_tags(cols: Sequence[str | Column]) -> Column:
 
 
 def tag_flags(tags: str | Column, mapping: Mapping[str, Sequence[str]] = fixed.TAG_FLAGS) -> dict[str, Column]:
-    return {
-        flag: F.exists(col(tags), lambda x, words=words: has_any(F.lower(x), words)).cast("int")
-        for flag, words in mapping.items()
-    }
+    def flag(words: Sequence[str]) -> Column:
+        return F.exists(col(tags), lambda x: has_any(F.lower(x), words)).cast("int")
+
+    return {name: flag(words) for name, words in mapping.items()}
 
 
 def text_flags(text: str | Column, words: Sequence[str]) -> dict[str, Column]:

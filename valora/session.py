@@ -27,6 +27,7 @@ def build_session(app: str = "valora", cpus: str | int = 8, partitions: int = 8)
         .config("spark.driver.memory", os.environ.get("VALORA_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
     )
     for key, value in RUNTIME_CONF.items():
