@@ -1,6 +1,6 @@
 """Loads every query module into the registry."""
 
-from valora.plans import catalog_columns, catalog_sources  # noqa: F401
+from valora.plans import catalog_columns, catalog_relational, catalog_sources  # noqa: F401
 from valora.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
