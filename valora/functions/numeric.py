@@ -99,9 +99,13 @@ def unit_hash(key: str | Column, salt: object) -> Column:
 
 
 def poisson_weight(u: Column, depth: int = 10) -> Column:
-    """Poisson(1) draw by inversion of a uniform number."""
-    total, cum = F.lit(0), 0.0
-    for k in range(depth):
-        cum += math.exp(-1) / math.factorial(k)
-        total = total + F.when(u >= F.lit(cum), 1).otherwise(0)
-    return total
+    """Poisson(1) draw by inversion of a uniform number, which is evaluated once."""
+    cum = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(depth)]
+
+    def draw(x: Column) -> Column:
+        total = F.lit(0)
+        for c in cum:
+            total = total + F.when(x >= F.lit(c), 1).otherwise(0)
+        return total
+
+    return F.transform(F.array(u), draw)[0]

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from valora.functions.numeric import col, half_up
 from valora.functions.rules import stars
@@ -243,7 +244,7 @@ def _beta_fraction(a: float, b: float, x: float, rounds: int = 300) -> float:
     return h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tail_probability(kind: pd.Series, stat: pd.Series, dof: pd.Series) -> pd.Series:
     """p-value column for tables of many tests; ``kind`` is chi2, normal or t."""
     def one(k: str, s: float, d: float) -> float | None:

@@ -53,7 +53,8 @@ def nested_subsets(df: DataFrame, key: str, sizes: Sequence[int], seed: int) ->
 
 
 def _draws(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
-    reps = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    # The draws are b times the rows: spread the narrow rows evenly before multiplying the work.
+    reps = df.repartition(key).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     u = unit_hash(F.concat_ws("|", F.col(key).cast("string"), F.col("b").cast("string")), seed)
     return reps.withColumn("w", poisson_weight(u)).filter("w > 0")
 

@@ -1,6 +1,8 @@
 """Loads every query module into the registry."""
 
-from valora.plans import catalog_columns, catalog_relational, catalog_sources  # noqa: F401
+from valora.plans import (  # noqa: F401
+    catalog_aggregates, catalog_columns, catalog_evaluation, catalog_relational, catalog_sources,
+)
 from valora.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
