@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 def rnd(expr: str, digits: int = 4) -> str:
     """SQL twin of :func:`valora.functions.numeric.half_up`."""
     scale = f"{10**digits}.0"
-    return f"(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) / {scale})"
+    return f"(floor(CAST({expr} AS DOUBLE) * {scale} + 0.50001) / {scale})"
 
 
 def sql_list(words) -> str:
