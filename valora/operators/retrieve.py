@@ -40,7 +40,8 @@ def nearest_on_line(points: DataFrame, queries: DataFrame, group: str, k: int) -
     sides = F.explode(F.array(F.lit(0), F.lit(1)))
     p = points.select(group, F.col("v").alias("val"), "id", F.lit(1).alias("is_point"), sides.alias("side"))
     q = queries.select(group, F.col("qv").alias("val"), F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("is_point"), sides.alias("side"))
-    both = p.unionByName(q)
+    # Numbering reads its input three times.
+    both = materialize(p.unionByName(q), "line-input")
     # Upwards the query comes before equal points, downwards after them, so equals are found once.
     value = F.when(F.col("side") == 0, F.col("val")).otherwise(-F.col("val"))
     tag = F.when(F.col("is_point") == 1, 1 - F.col("side")).otherwise(F.col("side"))
@@ -182,6 +183,7 @@ def similar(queries: DataFrame, pool: DataFrame, k: int = 3, anchored: bool = Fa
     rows = pool.select(
         F.col("id").cast("bigint").alias("id"), name("colonia").alias("zone"), name("municipio").alias("town"), _given("recamaras").alias("rooms"),
         _given("m2").alias("m2"), *(["price"] if anchored else []))
+    rows = materialize(rows, "pool")
     search = _search_by_price if anchored else _search_by_area
     home = rows.select("id", F.col("zone").alias("p_zone"), F.col("town").alias("p_town"))
 
