@@ -5,7 +5,8 @@ takes a mergeable sketch per group (bounded memory) that brackets each wanted qu
 pass counts the rows between the brackets as single numbers and keeps apart only the values inside
 them, a fixed small share of the group. Both passes combine on the map side. The wanted ranks are
 then read off the counts, so the answer is exact; a rank that fell outside its bracket (the sketch
-guarantees it does not) fails the job instead of giving a wrong number.
+guarantees it does not) fails the job instead of giving a wrong number. Where even the values
+inside the brackets are too many for one task, their running counts are taken bin by bin.
 """
 
 from __future__ import annotations
@@ -20,14 +21,7 @@ from valora.functions.numeric import col as as_col
 from valora.session import materialize
 
 ACCURACY = 10_000
-MARGIN = 4.0 / ACCURACY
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+WINDOW_ROWS = 1_000_000  # most bracket values one task may order by itself
 
 
 def exact_quantiles(
@@ -43,11 +37,15 @@ def exact_quantiles(
     rows = df.select(*keys, as_col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     margin = 4.0 / accuracy
     cuts = [x for p in sorted(set(probs.values())) for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("__b"),
+    sketch = materialize(
+        rows.groupBy(*keys).agg(
+            F.percentile_approx("__v", F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("__b"),
+            F.count(F.lit(1)).alias("__rows"),
+        ),
+        "sketch",
     )
+    biggest = sketch.agg(F.max("__rows")).first()[0] or 0
     if keys:
-        sketch = materialize(sketch, "sketch")
         renamed = sketch.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__b")
         cond = F.lit(True)
         for i, k in enumerate(keys):
@@ -67,9 +65,22 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     )
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    cells = cells.withColumn(
-        "__end", F.sum("__n").over(part.orderBy("__lo").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ).withColumn("__total", F.sum("__n").over(part))
+    if biggest * 2 * margin * len(probs) <= WINDOW_ROWS:
+        # The values inside the brackets of the largest group fit one small window.
+        cells = cells.withColumn(
+            "__end", F.sum("__n").over(part.orderBy("__lo").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ).withColumn("__total", F.sum("__n").over(part))
+    else:
+        from valora.operators.ordering import running_before
+
+        cells = materialize(cells, "bracket-cells")
+        totals = cells.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+        cells = running_before(cells, keys, [F.col("__lo")], F.col("__n"), "__before")
+        cells = cells.withColumn("__end", F.col("__before") + F.col("__n"))
+        if keys:
+            cells = attach(cells, totals, keys)
+        else:
+            cells = cells.withColumn("__total", totals.select("__total").scalar())
     start = F.col("__end") - F.col("__n")
 
     def at(index: Column) -> Column:
