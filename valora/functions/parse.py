@@ -190,26 +190,23 @@ def categorise_poi(activity: str | Column, cats: Mapping[str, Sequence[str]] = f
 
 
 def tokenize(text: str | Column, mode: str = "words") -> Column:
-    """``words``: punctuation to space, split; ``letters4``: runs of four or more letters."""
+    """``words``: runs of letters, digits and underscores; ``letters``: runs of Spanish letters;
+    ``letters4``: those of four or more."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    if mode == "letters4":
-        return F.regexp_extract_all(low, F.lit("([a-záéíóúüñ]{4,})"), F.lit(1))
-    if mode == "letters":
-        low = F.regexp_replace(low, r"[^a-záéíóúüñ\s]", " ")
-    else:
-        low = F.regexp_replace(low, r"[^\p{L}\p{N}_\s]", " ")
-    return F.filter(F.split(low, r"\s+"), lambda x: x != "")
+    pattern = {"words": r"([\p{L}\p{N}_]+)", "letters": "([a-záéíóúüñ]+)", "letters4": "([a-záéíóúüñ]{4,})"}[mode]
+    return F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
 
 
 def extract_price(text: str | Column, profile: str) -> Column:
     """First in-range price among the profile's patterns, in order of the patterns."""
     patterns, lo, hi, inclusive = fixed.ANSWER_PROFILES[profile]
-    tries = []
-    for pattern in patterns:
-        value = extract_num(F.trim(col(text)), pattern)
-        ok = value.between(lo, hi) if inclusive else (value > lo) & (value < hi)
-        tries.append(F.when(ok, value))
-    return F.coalesce(*tries)
+
+    def ok(v: Column) -> Column:
+        return v.between(lo, hi) if inclusive else (v > lo) & (v < hi)
+
+    # Each pattern runs once per row; the array keeps their order.
+    found = F.array(*[extract_num(F.trim(col(text)), p) for p in patterns])
+    return F.get(F.filter(found, ok), F.lit(0))
 
 
 def is_on_topic(text: str | Column) -> Column:

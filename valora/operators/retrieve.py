@@ -223,13 +223,14 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.5,
 
     ``queries`` has (qid, text), ``docs`` has (id, text).
     """
-    words = docs.select("id", tokenize("text").alias("t"))
-    length = words.select("id", F.size("t").alias("dl"))
-    norm = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = int(norm["n"]), float(norm["avgdl"] or 1.0)
-    tf = words.select("id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    words = docs.select("id", tokenize("text").alias("t")).select("id", F.size("t").alias("dl"), "t")
+    tf = words.select("id", "dl", F.explode("t").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    counts = materialize(tf, "postings")
+    # Empty documents have no postings but count for the mean length.
+    n = docs.count()
+    avgdl = float(counts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1) or 1.0
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    postings = materialize(tf.select("id", "token", weight.alias("w")), "postings")
+    postings = counts.select("id", "token", weight.alias("w"))
     terms = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("w").alias("wmax"))
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = materialize(terms.withColumn("raw", raw), "terms")
@@ -250,16 +251,29 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.5,
     # Negative boosts would make a partial score too high a bar.
     safe = qt.groupBy("qid").agg(F.sum(F.least(F.col("boost"), F.lit(0.0)) * (k1 + 1)).alias("debt"))
     bar = materialize(kth.join(safe, "qid").select("qid", (F.col("bar") + F.col("debt")).alias("bar")), "bar")
-    cheap = W.partitionBy("qid").orderBy("top", "token")
-    essential = (
-        qt.join(bar, "qid", "left").withColumn("reach", F.sum("top").over(cheap.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .filter(F.col("bar").isNull() | (F.col("reach") * 1.000001 >= F.col("bar"))).select("qid", "token")
+    # Words in order of the most they can add: those that together stay below the bar cannot bring a
+    # document in by themselves. The others (essential) find the documents; a document whose score
+    # so far plus all the cheap words cannot reach the bar is dropped before the cheap words are read.
+    cheap = W.partitionBy("qid").orderBy("top", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = qt.join(bar, "qid", "left").withColumn("reach", F.sum("top").over(cheap))
+    ranked = materialize(
+        ranked.withColumn("essential", F.col("bar").isNull() | (F.col("reach") * 1.000001 >= F.col("bar"))), "ranked-terms"
     )
-    cands = essential.join(postings.select("token", "id"), "token").select("qid", "id").distinct()
-    scored = (
-        cands.join(qt.select("qid", "token", "boost"), "qid").join(postings, ["id", "token"])
-        .groupBy("qid", "id").agg(half_up(F.sum(F.col("boost") * F.col("w")), 9).alias("score"))
+    rest = ranked.groupBy("qid").agg(F.max("bar").alias("bar"), F.sum(F.when(~F.col("essential"), F.col("top")).otherwise(0.0)).alias("rest"))
+    found = (
+        ranked.filter("essential").select("qid", "token", "boost").join(postings, "token")
+        .groupBy("qid", "id").agg(F.sum(F.col("boost") * F.col("w")).alias("s"))
     )
+    # Negative boosts lower a score; the bar already allows for them.
+    alive = materialize(
+        found.join(rest, "qid").filter(F.col("bar").isNull() | ((F.col("s") + F.col("rest")) * 1.000001 + 1e-9 >= F.col("bar"))).select("qid", "id", "s"),
+        "alive",
+    )
+    added = (
+        alive.select("qid", "id").join(ranked.filter("NOT essential").select("qid", "token", "boost"), "qid")
+        .join(postings, ["id", "token"]).groupBy("qid", "id").agg(F.sum(F.col("boost") * F.col("w")).alias("s"))
+    )
+    scored = alive.unionByName(added).groupBy("qid", "id").agg(half_up(F.sum("s"), 9).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k, "rank").select("qid", "rank", "id", "score")
 
 
@@ -286,6 +300,8 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self:
     cut into blocks of bounded size on both sides.
     """
     base = materialize(_unit(corpus, "id", "vec", "id"), "vectors")
+    # Fewer cells for a small corpus, where visiting a cell costs more than it saves.
+    pivots = min(pivots, max(1, base.count() // 128)) if pivots == PIVOTS else pivots
     centers = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     if not centers:
         return queries.sparkSession.createDataFrame([], "qid bigint, rank int, id bigint, sim double")

@@ -28,6 +28,9 @@ def build_session(app: str = "valora", cpus: str | int = 8, partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # The test files are small: keep their partitions apart so that all cores work.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.debug.maxToStringFields", "200")
     )
     for key, value in RUNTIME_CONF.items():
