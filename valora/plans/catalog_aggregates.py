@@ -31,7 +31,7 @@ def _(c: Context) -> DataFrame:
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    rows = select.price_window(c.listing.select("price", "location"))
+    rows = select.price_window(c.stored("listing", "price", "location"))
     zone, _town = parse.split_location("location")
     top = aggregate.top_groups(rows.select(zone.alias("colonia"), "price"), "colonia", "price", 5, 15)
     return top.select("colonia", half_up("median").alias("median"), "n")
@@ -129,7 +129,7 @@ def _(c: Context) -> DataFrame:
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    got = aggregate.box_stats(c.listing, "recamaras", "price")
+    got = aggregate.box_stats(c.stored("listing", "recamaras", "price"), "recamaras", "price")
     return got.select("recamaras", "n", *[half_up(x).alias(x) for x in ("q1", "med", "q3", "low", "high")], "outliers")
 
 
@@ -275,8 +275,9 @@ _NAMED = ["NATION_1", "NATION_7", "NATION_13", "NATION_22"]
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    city = quantile.scalar_quantile(c.listing, "price", 0.5)
-    zones = quantile.exact_median(c.listing.filter(F.col("colonia").isin(_NAMED)), ["colonia"], "price")
+    rows = c.stored("listing", "colonia", "price")
+    city = quantile.scalar_quantile(rows, "price", 0.5)
+    zones = quantile.exact_median(rows.filter(F.col("colonia").isin(_NAMED)), ["colonia"], "price")
     return zones.select("colonia", half_up("median").alias("median"), (F.col("median") > city).alias("above"))
 
 
@@ -345,7 +346,7 @@ def _(c: Context) -> DataFrame:
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    got = aggregate.relative_to_group(c.listing.select("listing_id", "colonia", "price"), "colonia", "price", "rel")
+    got = aggregate.relative_to_group(c.stored("listing", "listing_id", "colonia", "price"), "colonia", "price", "rel")
     return got.select("listing_id", half_up("group_median").alias("group_median"), half_up("rel", 6).alias("rel"))
 
 
@@ -364,7 +365,8 @@ def _(c: Context) -> DataFrame:
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    rows = c.listing.select("listing_id", "property_type", numeric.price_per_m2("price", "m2").alias("pm2"))
+    rows = c.stored("listing", "listing_id", "property_type", "price", "m2")
+    rows = rows.select("listing_id", "property_type", numeric.price_per_m2("price", "m2").alias("pm2"))
     return aggregate.winsorize_by(rows, "property_type", "pm2", 0.95).select("listing_id", half_up("pm2").alias("pm2"))
 
 

@@ -70,7 +70,7 @@ _TRAIN = f"{sql_unit('listing_id', 42)} < 0.8"
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    rows = c.listing.select("listing_id", "colonia", "price").withColumn("split", sampling.split2("listing_id", 42))
+    rows = c.stored("listing", "listing_id", "colonia", "price").withColumn("split", sampling.split2("listing_id", 42))
     got = encode.target_encode(rows, ["colonia"], "price", fit_on=F.col("split") == "train")
     return got.select("listing_id", half_up("colonia_enc", 3).alias("enc"))
 
@@ -87,7 +87,7 @@ _FOLD = f"CAST(floor({sql_unit('listing_id', 42)} * 5) AS INT)"
     "listing",
 )
 def _(c: Context) -> DataFrame:
-    rows = c.listing.select("listing_id", "colonia", "price").withColumn("fold", sampling.kfold("listing_id", 5, 42))
+    rows = c.stored("listing", "listing_id", "colonia", "price").withColumn("fold", sampling.kfold("listing_id", 5, 42))
     got = encode.target_encode_oof(rows, ["colonia"], "price", "fold")
     return got.select("listing_id", "fold", half_up("colonia_enc", 3).alias("enc"))
 
@@ -179,7 +179,7 @@ def _(c: Context) -> DataFrame:
 def _(c: Context) -> DataFrame:
     from valora.operators.models import baseline_predict
 
-    rows = c.listing.select("listing_id", "colonia", "price").withColumn("split", sampling.split2("listing_id", 42))
+    rows = c.stored("listing", "listing_id", "colonia", "price").withColumn("split", sampling.split2("listing_id", 42))
     preds = baseline_predict(rows, "colonia", "price", "split").filter("split = 'test'")
     m = evaluate.regression_metrics(preds, "price", "pred", ["baseline"])
     return m.select("baseline", half_up("mae", 3).alias("mae"), half_up("r2", 6).alias("r2"))

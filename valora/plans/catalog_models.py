@@ -17,7 +17,8 @@ FEATURES = [*models.NUMERIC, *models.FLAGS, "colonia_enc", "municipio_enc"]
 
 
 def window(c: Context) -> DataFrame:
-    return select.price_window(c.listing.drop("location", "source_url", "published"))
+    cols = ["listing_id", "price", "colonia", "municipio", "m2", "recamaras", "banos", "property_type", "lujo", "amueblado", "nuevo", "views", "lat", "lon"]
+    return select.price_window(c.stored("listing", *cols))
 
 
 def prepared(c: Context, mode: str = "oof", transform: str = "log1p", lam: float = 0.0) -> DataFrame:

@@ -25,7 +25,8 @@ def _similar_sql(score: str, k: int) -> str:
 
 def split_listings(c: Context) -> tuple[DataFrame, DataFrame]:
     """Test listings as questions, training listings as the pool."""
-    rows = c.listing.withColumn("split", sampling.split2("listing_id", 42))
+    rows = c.stored("listing", "listing_id", "colonia", "municipio", "recamaras", "m2", "price").withColumn(
+        "split", sampling.split2("listing_id", 42))
     q = rows.filter("split = 'test'").withColumnRenamed("listing_id", "qid")
     return q, rows.filter("split = 'train'").withColumnRenamed("listing_id", "id")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valora.session import tune
+from valora.session import materialize, tune
 from valora.sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,10 @@ class Context:
     spark: SparkSession
     sf_dir: str
 
+    def stored(self, name: str, *cols: str) -> DataFrame:
+        """The wanted columns of a view as a stored table: for jobs that read a joined view often."""
+        return materialize(view(self.spark, self.sf_dir, name).select(*cols), name)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
