@@ -356,3 +356,22 @@ def _(c: Context) -> DataFrame:
         "card", "name STRING, type STRING, price BIGINT, furnished INT, amenities ARRAY<STRING>, notes STRING").alias("k"))
     return got.select("listing_id", "k.name", "k.type", "k.price", "k.furnished",
                       F.array_join("k.amenities", ";").alias("amenities"), "k.notes")
+
+
+@query(
+    "a7_all_page_shapes",
+    f"""SELECT {_PAGE} * 10 + 1 AS page_id, concat('Depto ', colonia) AS name, {rnd('price', 2)} AS price, concat('https://example.org/detalle/', listing_id) AS source_url FROM ad
+        UNION ALL SELECT listing_id * 10 + 2, concat('Depto ', colonia), {rnd('price', 2)}, source_url FROM listing WHERE listing_id % 4 <> 3 OR listing_id % 3 = 2
+        UNION ALL SELECT listing_id * 10 + 3, concat('Casa ', colonia), {rnd('price', 2)}, '' FROM listing""",
+    "ad listing",
+)
+def _(c: Context) -> DataFrame:
+    # One page set per shape; the state pages also carry a JSON-LD block that holds no listing.
+    cards = card_pages(c).select((F.col("page_id") * 10 + 1).alias("page_id"), "html")
+    ld = jsonld_pages(c).select((F.col("listing_id") * 10 + 2).alias("page_id"), "html")
+    posting = F.struct(F.col("price").cast("decimal(20,2)").cast("string").alias("price"), F.concat_ws(" ", F.lit("Casa"), "colonia").alias("title"))
+    state = F.to_json(F.struct(F.struct(F.struct(F.array(posting).alias("postings")).alias("pageProps")).alias("props")))
+    html = F.concat(F.lit('<script type="application/ld+json">{"@type": "Organization"}</script><script>window.__NEXT_DATA__ = '), state, F.lit(";</script>"))
+    states = c.listing.select((F.col("listing_id") * 10 + 3).alias("page_id"), html.alias("html"))
+    got = pages.extract_listings(cards.unionByName(ld).unionByName(states), BASE_URL, "page_id")
+    return got.select("page_id", "name", half_up("price", 2).alias("price"), "source_url")

@@ -307,3 +307,20 @@ def cards_by_udtf(pages: DataFrame, html: str = "html") -> DataFrame:
     spark.udtf.register("valora_cards", CardsUDTF)
     keep = ", ".join(f"p.{c}" for c in pages.columns if c != html)
     return spark.sql(f"SELECT {keep}, c.* FROM {{pages}} p, LATERAL valora_cards(p.{html}) c", pages=pages)
+
+
+def extract_listings(pages: DataFrame, base_url: str, key: str, html: str = "html") -> DataFrame:
+    """Listings of result pages: from cards; from JSON-LD where a page has no cards; from the page
+    state where it has neither."""
+    fields = [key, "name", "description", "address", "price", "source_url", "property_type", "bedrooms", "area_m2"]
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.withColumn("bedrooms", F.col("bedrooms").cast("double")).select(*fields)
+
+    rows = pages.select(key, html)
+    has_cards = F.coalesce(F.col(html).rlike("(?i)" + "|".join(CARD_STARTS)), F.lit(False))
+    from_cards = shaped(parse_card(extract_cards(rows.filter(has_cards), html), base_url))
+    plain = rows.filter(~has_cards)
+    from_ld = shaped(extract_jsonld(plain, html))
+    rest = plain.join(from_ld.select(key).distinct(), key, "left_anti")
+    return from_cards.unionByName(from_ld).unionByName(shaped(extract_state(rest, base_url, html)))
