@@ -7,7 +7,7 @@ Java regular expressions return '' where nothing matches, so every capture goes
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def matches(c: str | Column, pattern: str) -> Column:
     return F.coalesce(F.lower(col(c)).rlike(pattern), F.lit(False))
 
 
+def once(expr: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``expr`` once per row and hand the value to ``use``, however often that names it."""
+    return F.transform(F.array(expr), use)[0]
+
+
 def has_any(text: Column, words: Sequence[str]) -> Column:
     out = F.lit(False)
     for word in words:
@@ -94,20 +99,24 @@ def canonical_type(c: str | Column, mapping: Mapping[str, str] = fixed.TYPE_MAP)
 
 
 def classify_type(text: str | Column, rules=fixed.TYPE_RULES, default: str = "otro") -> Column:
-    low = F.lower(col(text))
-    out = F.lit(default)
-    for name, words in reversed(list(rules)):
-        out = F.when(has_any(low, words), F.lit(name)).otherwise(out)
-    return out
+    def first_rule(low: Column) -> Column:
+        out = F.lit(default)
+        for name, words in reversed(list(rules)):
+            out = F.when(has_any(low, words), F.lit(name)).otherwise(out)
+        return out
+
+    return once(F.lower(col(text)), first_rule)
 
 
 def is_owner(text: str | Column) -> Column:
-    low = F.lower(col(text))
-    return (
-        F.when(has_any(low, fixed.OWNER_WORDS), True)
-        .when(has_any(low, fixed.AGENCY_WORDS), False)
-        .otherwise(False)
-    )
+    def verdict(low: Column) -> Column:
+        return (
+            F.when(has_any(low, fixed.OWNER_WORDS), True)
+            .when(has_any(low, fixed.AGENCY_WORDS), False)
+            .otherwise(False)
+        )
+
+    return once(F.lower(col(text)), verdict)
 
 
 def extract_attrs(text: str | Column) -> dict[str, Column]:
@@ -166,8 +175,8 @@ def text_flags(text: str | Column, words: Sequence[str]) -> dict[str, Column]:
 
 
 def text_tags(text: str | Column, words: Sequence[str] = tuple(fixed.TEXT_AMENITIES)) -> Column:
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    listed = F.array(*[F.lit(w) for w in words])
+    return once(F.lower(F.coalesce(col(text), F.lit(""))), lambda low: F.filter(listed, lambda w: low.contains(w)))
 
 
 def amenity_count(cols: Sequence[str | Column], mode: str = "flags") -> Column:
@@ -184,9 +193,11 @@ def extract_floor(text: str | Column) -> Column:
 
 def categorise_poi(activity: str | Column, cats: Mapping[str, Sequence[str]] = fixed.POI_CATEGORIES) -> Column:
     """All categories whose words occur in the activity name; they overlap, hence an array."""
-    low = F.lower(F.coalesce(col(activity), F.lit("")))
-    marks = [F.when(has_any(low, [w.lower() for w in words]), F.lit(cat)) for cat, words in cats.items()]
-    return F.filter(F.array(*marks), lambda x: x.isNotNull())
+    def marks(low: Column) -> Column:
+        found = [F.when(has_any(low, [w.lower() for w in words]), F.lit(cat)) for cat, words in cats.items()]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return once(F.lower(F.coalesce(col(activity), F.lit(""))), marks)
 
 
 def tokenize(text: str | Column, mode: str = "words") -> Column:

@@ -9,7 +9,7 @@ from valora.functions import fixed
 from valora.functions.numeric import half_up
 from valora.operators.encode import target_encoder
 from valora.plans.registry import Context, query, rnd, sql_has_any
-from valora.session import scratch_path
+from valora.session import materialize, scratch_path
 from valora.sources import files, pages
 
 BASE_URL = "https://example.org"
@@ -373,5 +373,6 @@ def _(c: Context) -> DataFrame:
     state = F.to_json(F.struct(F.struct(F.struct(F.array(posting).alias("postings")).alias("pageProps")).alias("props")))
     html = F.concat(F.lit('<script type="application/ld+json">{"@type": "Organization"}</script><script>window.__NEXT_DATA__ = '), state, F.lit(";</script>"))
     states = c.listing.select((F.col("listing_id") * 10 + 3).alias("page_id"), html.alias("html"))
-    got = pages.extract_listings(cards.unionByName(ld).unionByName(states), BASE_URL, "page_id")
+    stored = materialize(cards.unionByName(ld).unionByName(states), "pages")
+    got = pages.extract_listings(stored, BASE_URL, "page_id")
     return got.select("page_id", "name", half_up("price", 2).alias("price"), "source_url")
