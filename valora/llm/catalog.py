@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from valora.llm.common import table
 from valora.llm.embedding_join import link_vectors
+from valora.llm.huffman_ids import read_id_files, write_id_files
+from valora.llm.packing import cut_documents, pack_pieces
 from valora.llm.simhash_trie import simhash_groups
 
 QUERIES = {}
@@ -38,6 +42,18 @@ FROM embeddings e JOIN part USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = write_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_id_files(listing).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
