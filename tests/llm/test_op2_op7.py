@@ -89,7 +89,7 @@ def test_every_capacity_holds(rule):
 def test_packing_in_many_groups_places_every_piece(spark):
     rows = [(i % 400, 0, 0, 1 + i * 37 % 900) for i in range(3000)] + [(9, 0, 0, 1024)] * 1000  # repeated rows, ties
     df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long")
-    got = pack_pieces(df, limit=1024, group_rows=64).collect()
+    got = pack_pieces(df, limit=1024, group_rows=512).collect()
     assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
     at_once = best_fit(np.array([r[3] for r in rows if r[3] < 1024]), np.array([1024, 1024, 1024.0 ** 2]), np.array([1, 1e-4, 1e-4]))[0].max() + 1
     assert check_packing(got, 1024) <= 1000 + at_once * 1.04

@@ -108,7 +108,7 @@ def pack_pieces(
             break
         kept.append(done.where("not room"))
         again = done.where("room").select("_row", "length")
-        if again.count() > 0.7 * n:  # hardly a bin is full: these sizes do not fit together any better
+        if again.count() > 0.9 * n:  # hardly a bin is full: these sizes do not fit together any better
             kept.append(done.where("room"))
             break
         open_rows = again
