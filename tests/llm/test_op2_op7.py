@@ -140,7 +140,7 @@ def test_codes_are_optimal_prefix_free_and_limited():
     for n in (2, 3, 17, 400):
         counts = rng.integers(0, 50, n) ** 2
         counts[:2] = 1
-        lengths = code_lengths(counts)
+        lengths = code_lengths(counts, 30)  # the limit does not bind
         assert (lengths.astype(int) * counts).sum() == huffman_cost(counts)
     fib = [1, 1]
     while len(fib) < 30:

@@ -20,6 +20,7 @@ from valora.llm.components import connected_components
 BITS = 64
 STEP = 8  # levels of the trie counted at a time
 FRONTIER = 1 << 20  # node pairs held at a time
+SLICE = 4096  # fingerprints that travel in one row
 SMALL = 64  # node pairs with so few leaf pairs are compared leaf by leaf
 
 
@@ -159,26 +160,39 @@ def near_fingerprints(fps: DataFrame, budget: int = 3, leaf_rows: int = 16384, m
         if j != i:
             takes[j].append((k, False))
     same_node = np.array([i == j for i, j in pairs])
+    slices = max(1, leaf // SLICE)
+
+    @F.pandas_udf("int")
+    def node_of(fp: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, fp.to_numpy().view(np.uint64), side="right").astype(np.int32) - 1)
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"node": [key[0]], "fps": [pdf["fp"].to_numpy().tobytes()], "reps": [pdf["rep"].to_numpy().tobytes()]})
 
     def deal(batches):
         for pdf in batches:
-            node = np.searchsorted(starts, pdf["fp"].to_numpy().view(np.uint64), side="right") - 1
-            for x in np.unique(node):
-                part = pdf[node == x]
-                for k, left in takes[x]:
-                    yield part.assign(pair=k, left_side=left)
+            for node, fp, rep in zip(pdf["node"], pdf["fps"], pdf["reps"]):
+                for k, left in takes[node]:
+                    yield pd.DataFrame({"pair": [k], "left_side": [left], "fps": [fp], "reps": [rep]})
+
+    def unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        fp = np.frombuffer(b"".join(pdf["fps"]), dtype=np.uint64)
+        order = np.argsort(fp)
+        return fp[order], np.frombuffer(b"".join(pdf["reps"]), dtype=np.int64)[order]
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(fp=pdf["fp"].to_numpy().view(np.uint64)).sort_values("fp")
         left = pdf["left_side"].to_numpy()
         same = bool(same_node[key[0]])
-        a, b = (pdf, pdf) if same else (pdf[left], pdf[~left])
-        rep = a["rep"].to_numpy() if same else np.concatenate([a["rep"].to_numpy(), b["rep"].to_numpy()])
+        a, rep = unpack(pdf[left])
+        b, shift = a, 0
+        if not same:
+            b, more = unpack(pdf[~left])
+            rep, shift = np.concatenate([rep, more]), len(a)
         order = np.argsort(rep, kind="stable")
         place = np.empty(len(rep), np.int64)
         place[order] = np.arange(len(rep))
-        parent, shift = np.arange(len(rep)), 0 if same else len(a)
-        for i, j in traverse(a["fp"].to_numpy(), b["fp"].to_numpy(), budget, same):
+        parent = np.arange(len(rep))
+        for i, j in traverse(a, b, budget, same):
             union_roots(parent, place[i], place[j + shift])
         root = parent
         while not np.array_equal(root, parent[root]):
@@ -186,7 +200,9 @@ def near_fingerprints(fps: DataFrame, budget: int = 3, leaf_rows: int = 16384, m
         moved = root != np.arange(len(rep))
         return pd.DataFrame({"a": rep[order][moved], "b": rep[order][root[moved]]})
 
-    dealt = fps.select("fp", "rep").mapInPandas(deal, "fp long, rep long, pair int, left_side boolean")
+    sliced = fps.select("fp", "rep", node_of("fp").alias("node"), F.pmod(F.xxhash64("fp"), F.lit(slices)).alias("slice"))
+    blobs = sliced.groupBy("node", "slice").applyInPandas(gather, "node int, fps binary, reps binary")
+    dealt = blobs.mapInPandas(deal, "pair int, left_side boolean, fps binary, reps binary")
     return dealt.groupBy("pair").applyInPandas(join, "a long, b long")
 
 
