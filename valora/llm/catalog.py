@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm.common import table
+from valora.llm.common import table, text_or_empty
 from valora.llm.embedding_join import link_vectors
 from valora.llm.huffman_ids import read_id_files, write_id_files
+from valora.llm.license_automaton import scan_licences
 from valora.llm.packing import cut_documents, pack_pieces
+from valora.llm.sentence_spans import drop_repeated_passages
 from valora.llm.simhash_trie import simhash_groups
 
 QUERIES = {}
@@ -57,3 +59,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = write_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_id_files(listing).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_removed", F.length(text_or_empty()).cast("long").alias("n_chars"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
