@@ -13,6 +13,8 @@ from valora.llm.license_automaton import scan_licences
 from valora.llm.packing import cut_documents, pack_pieces
 from valora.llm.sentence_spans import drop_repeated_passages
 from valora.llm.simhash_trie import simhash_groups
+from valora.llm.site_quality import score_documents
+from valora.llm.zip_warc import list_records, read_records, write_packages
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +72,24 @@ def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", *[F.col(c).alias(c[1:]) for c in ("_evidence", "_host", "_path", "_score", "_keep")])
+
+
+@query
+def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(list_records(write_packages(table(spark, sf_dir, "pages")))).drop("payload", "url")
+
+
+ORACLES["op6_zip_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest
+"""
