@@ -10,6 +10,7 @@ from valora.llm.common import table, text_or_empty
 from valora.llm.embedding_join import link_vectors
 from valora.llm.huffman_ids import read_id_files, write_id_files
 from valora.llm.license_automaton import scan_licences
+from valora.llm.order_minhash import fingerprint_edits
 from valora.llm.packing import cut_documents, pack_pieces
 from valora.llm.sentence_spans import drop_repeated_passages
 from valora.llm.simhash_trie import simhash_groups
@@ -93,3 +94,9 @@ SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN first <> page_id THEN
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest
 """
+
+
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
