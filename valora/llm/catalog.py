@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valora.llm.bpe import decode, encode_documents, read_ranks
 from valora.llm.common import table, text_or_empty
 from valora.llm.embedding_join import link_vectors
 from valora.llm.huffman_ids import read_id_files, write_id_files
@@ -100,3 +101,12 @@ FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_edits(table(spark, sf_dir, "documents"))
     return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), read_ranks(path)), 256).alias("decoded_sha256"))
