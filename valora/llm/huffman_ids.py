@@ -119,8 +119,8 @@ def write_id_files(
 
     Documents are in ascending order of id over the files by ``part`` and within each; null ids come first,
     ties in any order. A null text counts as empty. Other columns are ignored. ``files`` defaults to the
-    number of shuffle partitions. The code is made from the counts of all ids of all documents: one pass
-    counts, a second one encodes. Each task attempt writes a file of its own name, and only those of
+    number of shuffle partitions. Texts are tokenized once, into a stored table of ids; the code is made from
+    the counts of all of them, then they are encoded. Each task attempt writes a file of its own name, and only those of
     finished tasks are listed.
     """
     spark = docs.sparkSession
@@ -129,17 +129,32 @@ def write_id_files(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     tail = np.array([end_id], dtype="<u4").tobytes()
 
+    def tokenize(batches):
+        for pdf in batches:
+            raw = [x + tail for x in encoder(tokenizer_path).encode(list(pdf["text"]))]
+            if len(encoder(tokenizer_path).opens) <= 1 << 16:
+                raw = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in raw]
+            yield pd.DataFrame({"nil": pdf["nil"], "id": pdf["id"], "ids": raw})
+
+    def flat(pdf: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(pdf["ids"]), dtype="<u2" if narrow else "<u4")
+
+    narrow = len(encoder(tokenizer_path).opens) <= 1 << 16
+    keyed = rows.select(F.col("id").isNull().alias("nil"), F.coalesce("id", F.lit(0)).alias("id"), "text")
+    table_path = scratch_path(spark, "ids")
+    keyed.mapInPandas(tokenize, "nil boolean, id long, ids binary").write.option("compression", "zstd").parquet(table_path)
+    coded_ids = spark.read.schema("nil boolean, id long, ids binary").parquet(table_path)
+
     def count(batches):
         seen = np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            flat = np.frombuffer(b"".join(x + tail for x in encoder(tokenizer_path).encode(list(pdf["text"]))), dtype="<u4")
-            more = np.bincount(flat, minlength=len(seen))
+            more = np.bincount(flat(pdf), minlength=len(seen))
             more[:len(seen)] += seen
             seen = more
         at = np.nonzero(seen)[0]
         yield pd.DataFrame({"symbol": at, "n": seen[at]})
 
-    found = rows.select("text").mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    found = coded_ids.select("ids").mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.symbol for r in found], default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r.symbol] = r.n
@@ -150,12 +165,12 @@ def write_id_files(
 
     def encode(batches):
         for pdf in batches:
-            texts = encoder(tokenizer_path).encode(list(pdf["text"]))
-            flat = [np.frombuffer(x + tail, dtype="<u4") for x in texts]
-            coded = encode_ids(flat, codes, lengths) if len(flat) else []
+            sizes = pdf["ids"].map(len).to_numpy() // (2 if narrow else 4)
+            docs_of = np.split(flat(pdf), np.cumsum(sizes)[:-1]) if len(pdf) else []
+            coded = encode_ids(docs_of, codes, lengths)
             yield pd.DataFrame({
                 "part": np.where(pdf["nil"], 0, np.searchsorted(edges, pdf["id"], side="left")), "nil": pdf["nil"], "id": pdf["id"],
-                "n": [len(x) for x in flat], "codes": [c for c, _ in coded], "blocks": [b.tobytes() for _, b in coded],
+                "n": sizes, "codes": [c for c, _ in coded], "blocks": [b.tobytes() for _, b in coded],
             })
 
     def write(batches):
@@ -172,8 +187,7 @@ def write_id_files(
 
     store_fs, folder = store(target)
     store_fs.create_dir(folder, recursive=True)
-    keyed = rows.select(F.col("id").isNull().alias("nil"), F.coalesce("id", F.lit(0)).alias("id"), "text")
-    coded = keyed.mapInPandas(encode, "part int, nil boolean, id long, n long, codes binary, blocks binary")
+    coded = coded_ids.mapInPandas(encode, "part int, nil boolean, id long, n long, codes binary, blocks binary")
     ordered = coded.repartition(files, "part").sortWithinPartitions("part", F.desc("nil"), "id")
     return materialize(ordered.mapInPandas(write, "part int, path string, n_docs long, n_ids long"), "token-files-list")
 

@@ -62,20 +62,29 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         parts = [t.split(" ") for t in texts]
-        wanted = set().union(*(p[1:] for p in parts))
-        new = [c for c in wanted if c not in self.known]
-        if new:
+        heads = self._whole([p[0] for p in parts])
+        out: list[bytes | None] = [None] * len(texts)
+        todo = self._join(heads, parts, range(len(texts)), out)
+        if todo:
+            wanted = set().union(*(parts[i][1:] for i in todo))
+            new = [c for c in wanted if c not in self.known]
             if len(self.known) + len(new) > self.cache_rows:
-                new = list(wanted)
+                new = list(wanted)  # the cache begins anew
             self._learn(new)
-        heads = self._whole([p[0] for p in parts])
-        out: list[bytes | None] = []
-        for head, p in zip(heads, parts):
-            try:
-                out.append(head + b"".join(map(self.known.__getitem__, p[1:])))
-            except TypeError:  # a chunk that depends on its neighbours
-                out.append(None)
+            self._join(heads, parts, todo, out)
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._whole([texts[i] for i in rest])):
             out[i] = x
         return out
+
+    def _join(self, heads, parts, rows, out) -> list[int]:
+        """Fill ``out`` where all chunks are known; the rows with unknown ones."""
+        unknown, get = [], self.known.__getitem__
+        for i in rows:
+            try:
+                out[i] = heads[i] + b"".join(map(get, parts[i][1:]))
+            except KeyError:
+                unknown.append(i)
+            except TypeError:  # a chunk that depends on its neighbours
+                pass
+        return unknown
