@@ -266,5 +266,5 @@ def read_id_files(listing: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     })
                     at += int(ends[-1])
 
-    found = offsets.repartition(F.col("part")).mapInPandas(read, "nil boolean, id long, start long, n_tokens long, ids binary")
+    found = offsets.repartition(max(1, offsets.count()), "part").mapInPandas(read, "nil boolean, id long, start long, n_tokens long, ids binary")
     return found.select(F.when(~F.col("nil"), F.col("id")).alias(id_col), "start", "n_tokens", "ids")

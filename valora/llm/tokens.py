@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
@@ -10,7 +11,7 @@ ID = np.dtype("<u4")
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
-def encoder(path: str, cache_rows: int = 1_000_000) -> "ChunkEncoder":
+def encoder(path: str, cache_rows: int = 700_000) -> "ChunkEncoder":
     """One per worker process and file; its cache outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path, cache_rows)
@@ -22,7 +23,7 @@ class ChunkEncoder:
 
     The vocabulary's splitting pattern always cuts before a blank that stands between two characters that
     are no white space, or before one that is followed by one: the ids of a text are those of its chunks
-    in a row. Texts with a blank before white space are encoded whole. At most ``cache_rows`` chunks are
+    in a row. Texts with a blank before white space are encoded whole. About ``cache_rows`` chunks are
     remembered.
     """
 
@@ -43,8 +44,6 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype=ID).tobytes() for e in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.cache_rows:
-            self.known.clear()
         odd = [c for c in chunks if not c or c[0].isspace()]
         self.known.update(dict.fromkeys(odd))
         good = [c for c in chunks if c and not c[0].isspace()]
@@ -61,6 +60,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        return [x for i in range(0, len(texts), 256) for x in self._encode(texts[i:i + 256])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         heads = self._whole([p[0] for p in parts])
         out: list[bytes | None] = [None] * len(texts)
@@ -69,7 +71,9 @@ class ChunkEncoder:
             wanted = set().union(*(parts[i][1:] for i in todo))
             new = [c for c in wanted if c not in self.known]
             if len(self.known) + len(new) > self.cache_rows:
-                new = list(wanted)  # the cache begins anew
+                # Frequent chunks come early: the older half stays.
+                self.known = dict(islice(self.known.items(), self.cache_rows // 2))
+                new = [c for c in wanted if c not in self.known]
             self._learn(new)
             self._join(heads, parts, todo, out)
         rest = [i for i, x in enumerate(out) if x is None]
