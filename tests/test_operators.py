@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with one group holding most of the rows."""
 
+import datetime
 import math
 import random
 from itertools import combinations
@@ -340,3 +341,19 @@ def test_training_log(spark, tmp_path):
     (tmp_path / "log.txt").write_text("Loading\nIter 1: Val loss 3.25, Val took 2s\nIter 10: Train loss 1.5, Learning Rate 1e-5\nDone\n")
     got = sorted((r.iter, r.series, r.loss) for r in parse_training_log(spark, str(tmp_path)).collect())
     assert got == [(1, "val", 3.25), (10, "train", 1.5)]
+
+
+def test_stream_merge_keeps_earlier_runs(spark, tmp_path):
+    import shutil
+
+    schema, dst = "source_url string, seen timestamp, price double", str(tmp_path / "dst")
+    wanted = []
+    for k, urls in enumerate((["a", "b"], ["c"], ["b", "d"], ["a", "e"])):
+        src = str(tmp_path / f"src{k}")
+        spark.createDataFrame([(u, datetime.datetime(2024, 1, 1 + k), 1.0) for u in urls], schema).write.parquet(src)
+        if k == 3:  # as if all progress were lost
+            shutil.rmtree(f"{dst}/_progress")
+        incremental.stream_merge(spark, incremental.file_stream(spark, src, spark.read.parquet(src).schema), dst, "source_url", "seen", name=f"src{k}")
+        wanted = sorted({*wanted, *urls})
+        got = incremental.read_batches(spark, dst, spark.read.parquet(src).schema)
+        assert sorted(r.source_url for r in got.collect()) == wanted

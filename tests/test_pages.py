@@ -56,3 +56,11 @@ def test_links_ordered_distinct_and_limited(spark):
     html = "".join(f'<a href="/casa-{i % 12}">x</a>' for i in range(30)) + '<a href="/otro">y</a><a href="https://z.org/propiedad-7">z</a>'
     got = pages.harvest_links(one(spark, html), "https://x.org", 10).orderBy("link_no").collect()
     assert [r.link for r in got] == [f"https://x.org/casa-{i}" for i in range(10)]
+
+
+def test_first_card_nested_price_and_paragraphs(spark):
+    card = ('<div data-qa="posting X"><h2 class="title">Casa <b>azul</b> grande</h2><span data-qa="price"><b>MXN</b> 9,500</span>'
+            '<div data-qa="posting-description"><p>Uno.</p><p>Dos.</p></div></div>')
+    for html, n in ((card, 1), (card + card, 2), ("<p>x</p>" + card, 1)):
+        rows = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").collect()
+        assert [(r.name, r.price, r.description) for r in rows] == [("Casa azul grande", 9500.0, "Uno. Dos.")] * n

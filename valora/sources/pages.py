@@ -45,16 +45,17 @@ def strip_tags(c: str | Column) -> Column:
 
 
 def inner_text(c: str | Column, start: str) -> Column:
-    """Text of the first element whose start tag matches, up to its first closing tag."""
-    return F.nullif(strip_tags(capture(c, rf"(?is)<[^>]*{start}[^>]*>(.*?)</")), F.lit(""))
+    """Text of the first element whose start tag matches, up to the first closing tag of its own name."""
+    return F.nullif(strip_tags(capture(c, rf"(?is)<(\w+)[^>]*{start}[^>]*>(.*?)</\1\s*>", 2)), F.lit(""))
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card: the first kind of card element that occurs on the page decides."""
     tries = []
     for start in CARD_STARTS:
-        pieces = F.split(F.col(html), rf"(?i)(?={start})")
-        cards = F.slice(pieces, 2, 1_000_000)
+        # The blank makes a head, also for a page that begins with a card.
+        pieces = F.split(F.concat(F.lit(" "), F.col(html)), rf"(?i)(?={start})")
+        cards = F.slice(pieces, F.lit(2), F.size(pieces))
         tries.append(F.when((F.size(pieces) > 1) & F.col(html).rlike(f"(?i){start}"), cards))
     found = pages.withColumn("__cards", F.coalesce(*tries))
     return found.select(

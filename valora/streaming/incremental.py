@@ -1,11 +1,13 @@
 """Incremental work: merging new sources, enriching what is new, scoring streams.
 
-Batch and stream share the same steps. Streams run with ``availableNow`` and keep their progress
-and results in the shared scratch folder, so a restarted query continues where it stopped.
+Batch and stream share the same steps. Streams run with ``availableNow`` and keep their progress in the
+folder of their results, by source folder (``name``), so a restarted query continues where it stopped.
+A batch folder carries the id of its progress: where that was deleted, nothing written before is replaced.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,7 +18,6 @@ from valora.operators.joins import pending
 from valora.operators.ordering import first_by
 from valora.operators.segment import valuation_flags
 from valora.operators.select import valid_price
-from valora.session import scratch_path
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -39,12 +40,15 @@ def skip_finished(units: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     return pending(units, metrics, key)
 
 
-def _run(stream: DataFrame, spark: SparkSession, label: str, each: Callable[[DataFrame, int], None]) -> None:
-    query = (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
-        .trigger(availableNow=True).start()
-    )
+def _run(stream: DataFrame, spark: SparkSession, target: str, name: str, each: Callable[[DataFrame, str], None]) -> None:
+    """Run ``each`` on every batch with the name of its folder."""
+    progress = f"{target}/_progress/{name}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        run = json.loads(batch.sparkSession.read.text(f"{progress}/metadata").first()[0])["id"]
+        each(batch, f"batch={batch_id}-{run}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -52,7 +56,7 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_merge(spark: SparkSession, source: DataFrame, target: str, key: str, time: str, delay: str = "30 days") -> None:
+def stream_merge(spark: SparkSession, source: DataFrame, target: str, key: str, time: str, delay: str = "30 days", name: str = "main") -> None:
     """Append the rows of a stream whose key is not in the target yet.
 
     Repeats inside the watermark are dropped by the stream; earlier ones by an anti-join of each
@@ -61,33 +65,33 @@ def stream_merge(spark: SparkSession, source: DataFrame, target: str, key: str,
     """
     deduped = source.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
+    def upsert(batch: DataFrame, folder: str) -> None:
         session = batch.sparkSession
         done = session.read.schema(batch.schema).option("recursiveFileLookup", True).option(
             "ignoreMissingFiles", True).parquet(target)
-        other = done.filter(~F.input_file_name().contains(f"/batch={batch_id}/"))
+        other = done.filter(~F.input_file_name().contains(f"/{folder}/"))
         fresh = pending(first_by(batch, [key], [F.col(time)]), other, key)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/{folder}")
 
     # An empty first table, so that every batch finds one.
     spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
-    _run(deduped, spark, "merge", upsert)
+    _run(deduped, spark, target, name, upsert)
 
 
-def incremental_enrich(spark: SparkSession, source: DataFrame, enrich: Callable[[DataFrame], DataFrame], target: str, key: str) -> None:
+def incremental_enrich(spark: SparkSession, source: DataFrame, enrich: Callable[[DataFrame], DataFrame], target: str, key: str, name: str = "main") -> None:
     """Enrich each arriving batch once; the stream's progress replaces a partial-result file."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        enrich(first_by(batch, [key], [F.col(key)])).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def step(batch: DataFrame, folder: str) -> None:
+        enrich(first_by(batch, [key], [F.col(key)])).write.mode("overwrite").parquet(f"{target}/{folder}")
 
-    _run(source, spark, "enrich", step)
+    _run(source, spark, target, name, step)
 
 
-def stream_score(spark: SparkSession, source: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, pct: float = 20.0) -> None:
+def stream_score(spark: SparkSession, source: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, pct: float = 20.0, name: str = "main") -> None:
     """Score arriving listings with a fitted model and flag those far from the estimate."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        valuation_flags(score(batch), pct=pct).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def step(batch: DataFrame, folder: str) -> None:
+        valuation_flags(score(batch), pct=pct).write.mode("overwrite").parquet(f"{target}/{folder}")
 
-    _run(source, spark, "score", step)
+    _run(source, spark, target, name, step)
 
 
 def read_batches(spark: SparkSession, target: str, schema) -> DataFrame:
