@@ -1,17 +1,16 @@
 """Byte-level BPE by ranked merges: encoding in Spark's higher-order functions, decoding by joining pieces.
 
-Texts are gathered into blocks; each block is one row with its distinct words, as bytes, and its documents as numbers
-of words. Every distinct word of a block is folded once: the adjacent pair of pieces of the smallest rank is merged,
-again and again. The ranks are a literal, an array of maps picked by a checksum, because a look-up in
-a single map would read it from end to end. A block is as large as a task's share of the input allows, so words
-are not moved between tasks.
+Texts are gathered into blocks; each block is one row with its distinct words, as arrays of bytes, and its documents
+as numbers of words. Every distinct word of a block is folded once: the adjacent pair of the smallest rank is merged,
+again and again, and only the two pairs beside a merge are looked up anew. The rank map is a literal, from pairs
+of ids to the id of both together, dealt into buckets because a look-up in a single map would read it from
+end to end. A block is as large as a task's share of the input allows, so words are not moved between tasks.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 
 from valora.llm.common import text_or_empty
 
-BUCKETS = 1 << 14
+BUCKETS = 65_521  # a prime, so that both ids of a pair count
+ID_RANGE = 1 << 17  # more than any id
 BLOCK_CHARS = 32_000_000
 LONG_WORD = 64  # bytes; a fold costs the square of a word's length, so longer words take the library's own merge
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the pattern
@@ -31,16 +31,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _chars(data: bytes) -> str:
-    """Bytes as a string with one character each, so that Spark's string functions act on bytes."""
-    return data.decode("latin-1")
+def _key(left, right):
+    """One number for a pair of ids, larger than any id."""
+    return (left + 1) * ID_RANGE + right
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """Buckets of ``null, pair, id, pair, id ...``: behind each pair stands the id of its two pieces joined."""
+    if max(ranks.values()) >= ID_RANGE:
+        raise ValueError(f"ids must be below {ID_RANGE}")
+    buckets: list[list[int | None]] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(_chars(piece).encode()) % BUCKETS][_chars(piece)] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                key = _key(left, right)
+                bucket = buckets[key % BUCKETS]
+                bucket += [key, rank] if bucket else [None, key, rank]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+
+
+def byte_literal(ranks: dict[bytes, int]) -> Column:
+    return F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -56,27 +68,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word (a string of one character per byte)."""
-    rank = lambda s: F.try_element_at(F.get(ranks, F.pmod(F.crc32(s), F.lit(BUCKETS)).cast("int")), s)
+def fold_word(word: Column, ranks: Column, first: Column) -> Column:
+    """Ids of one word (an array of its bytes); ``ranks`` and ``first`` are the literals of pairs and of single bytes."""
+
+    def rank(left: Column, right: Column) -> Column:
+        # The place of an absent pair is 0, where a bucket holds null.
+        return let(_key(left, right), lambda key: let(
+            F.get(ranks, F.pmod(key, F.lit(BUCKETS)).cast("int")), lambda bucket: F.get(bucket, F.array_position(bucket, key).cast("int"))))
+
+    # A null at both ends gives every pair two neighbours; pairs[i] belongs to ids[i] and ids[i + 1].
+    def start(ids: Column) -> Column:
+        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: rank(x, F.get(ids, i + 1)))
+        return F.struct(ids.alias("ids"), pairs.alias("pairs"))
 
     def merge(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        pairs = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x, i: rank(F.concat(x, F.get(pieces, i + 1))))
+        ids, pairs = state["ids"], state["pairs"]
 
-        def best(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            joined = F.concat(
-                F.slice(pieces, 1, at - 1), F.array(F.concat(F.get(pieces, at - 1), F.get(pieces, at))), F.slice(pieces, at + 2, F.size(pieces)))
-            stop = F.array_min(found).isNull()
-            return F.struct(F.when(stop, pieces).otherwise(joined).alias("pieces"), stop.alias("done"))
+        def join(best: Column, at: Column) -> Column:
+            return F.struct(
+                F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                F.concat(
+                    F.slice(pairs, 1, at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))),
+                    F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"))
 
-        return F.when(state["done"] | (F.size(pieces) < 2), state).otherwise(let(pairs, best))
+        return let(F.array_min(pairs), lambda best: F.when(best.isNull(), state).otherwise(
+            let(F.array_position(pairs, best).cast("int"), lambda at: join(best, at))))
 
-    start = F.struct(F.filter(F.split(word, ""), lambda c: c != "").alias("pieces"), F.lit(False).alias("done"))
-    steps = F.sequence(F.lit(1), F.length(word))
-    folded = F.aggregate(steps, start, merge, lambda s: F.transform(s["pieces"], rank))
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(folded)
+    none = F.array(F.lit(None).cast("long"))
+    ids = F.concat(none, F.transform(word, lambda b: F.get(first, b)), none)
+    return F.aggregate(F.slice(word, 2, F.size(word)), let(ids, start), merge, lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2).cast("array<int>"))
 
 
 class _Blocks:
@@ -86,7 +106,8 @@ class _Blocks:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.pattern, self.ranks_path, self.id_type, self.library = pattern, ranks_path, id_type, None
+        self.pattern, self.ranks_path, self.id_type = pattern, ranks_path, id_type
+        self.ranks, self.library = None, None
         self.clear()
 
     def clear(self):
@@ -119,20 +140,25 @@ class _Blocks:
                 self.rows.append(self._numbers(self.split(text)))
 
     def _given(self, words: list[bytes]) -> list:
-        long = [w for w in words if len(w) > LONG_WORD]
-        if long and self.library is None:
+        """Ids of the words that are not folded: those that are a piece themselves, and very long ones."""
+        if self.ranks is None:
+            self.ranks = read_ranks(self.ranks_path)
+        if self.library is None and any(len(w) > LONG_WORD for w in words):
             import tiktoken
 
-            self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=read_ranks(self.ranks_path), special_tokens={})
-        return [self.library.encode_ordinary(w.decode()) if len(w) > LONG_WORD else None for w in words]
+            self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return [
+            [self.ranks[w]] if w in self.ranks else self.library.encode_ordinary(w.decode()) if len(w) > LONG_WORD else None for w in words]
 
     def take(self) -> pa.RecordBatch:
         words = [w.encode() for w in self.words]
         sizes = np.array([len(r) // 4 for r in self.rows], dtype=np.int64)
         numbers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(self.rows), dtype=np.int32)))
         docs = pa.StructArray.from_arrays([pa.concat_arrays(self.ids).cast(self.id_type), numbers], names=["id", "words"])
+        lengths = np.cumsum([0] + [len(w) for w in words])
+        spelled = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)))
         batch = pa.record_batch({
-            "words": pa.array([[_chars(w) for w in words]], pa.list_(pa.string())), "given": pa.array([self._given(words)], pa.list_(pa.list_(pa.int32()))),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), spelled), "given": pa.array([self._given(words)], pa.list_(pa.list_(pa.int32()))),
             "docs": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
         })
         self.clear()
@@ -166,8 +192,9 @@ def encode_documents(
         if blocks.rows:
             yield blocks.take()
 
-    blocks = rows.mapInArrow(gather, "words array<string>, given array<array<int>>, docs array<struct<id:long,words:array<int>>>")
-    folded = let(rank_literal(ranks), lambda r: F.transform("words", lambda w, i: F.coalesce(F.get(F.col("given"), i), fold_word(w, r))))
+    blocks = rows.mapInArrow(gather, "words array<array<int>>, given array<array<int>>, docs array<struct<id:long,words:array<int>>>")
+    folded = let(rank_literal(ranks), lambda r: let(byte_literal(ranks), lambda first: F.transform(
+        "words", lambda w, i: F.coalesce(F.get(F.col("given"), i), fold_word(w, r, first)))))
     coded = let(folded, lambda codes: F.transform("docs", lambda d: F.struct(
         d["id"].alias("id"), F.flatten(F.transform(d["words"], lambda k: F.get(codes, k))).alias("ids"))))
     return blocks.select(F.explode(coded).alias("d")).select(F.col("d.id").alias(id_col), F.col("d.ids").alias("ids"))
