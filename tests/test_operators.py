@@ -137,11 +137,19 @@ def hav(a, b, c, d):
     return 6371.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
-@pytest.mark.parametrize("lat0", [25.65, 0.0, -59.9, 70.0])
-def test_radius_counts_equal_brute_force(spark, lat0):
+@pytest.mark.parametrize("lat0,lon0", [(25.65, -100.3), (0.0, 180.0), (-59.9, -180.0), (70.0, 179.99), (79.99, -100.3), (89.98, 30.0), (-89.98, -179.99)])
+def test_radius_counts_equal_brute_force(spark, lat0, lon0):
+    def place(i):
+        if i % 3 == 0:
+            return lat0, lon0
+        # Near a pole longitudes are spread over the whole turn.
+        wide = 180 if abs(lat0) > 89 else 0.03
+        lat, lon = max(-90.0, min(90.0, lat0 + rnd.uniform(-0.03, 0.03))), lon0 + rnd.uniform(-wide, wide)
+        return lat, (lon + 180) % 360 - 180
+
     rnd = random.Random(7)
-    pts = [(i, lat0 if i % 3 == 0 else lat0 + rnd.uniform(-0.03, 0.03), -100.3 if i % 3 == 0 else -100.3 + rnd.uniform(-0.03, 0.03)) for i in range(90)]
-    tgs = [(lat0 if i % 3 == 0 else lat0 + rnd.uniform(-0.03, 0.03), -100.3 if i % 3 == 0 else -100.3 + rnd.uniform(-0.03, 0.03), ["a"] if i % 2 else ["a", "b"]) for i in range(400)]
+    pts = [(i, *place(i)) for i in range(90)]
+    tgs = [(*place(i), ["a"] if i % 2 else ["a", "b"]) for i in range(400)]
     p = spark.createDataFrame(pts, "id INT, lat DOUBLE, lon DOUBLE")
     t = spark.createDataFrame(tgs, "lat DOUBLE, lon DOUBLE, cats ARRAY<STRING>")
     got = {r.id: r for r in geo.radius_counts(p, t, "id", [0.5, 1.0], ["a", "b"]).collect()}
@@ -152,6 +160,31 @@ def test_radius_counts_equal_brute_force(spark, lat0):
             assert got[i][f"b_{name}"] == sum("b" in c for c in near)
 
 
+def test_row_numbers_with_more_bins_than_rows_of_a_bin(spark, rows):
+    order = [F.col("k").asc_nulls_first(), F.col("id")]
+    for bins in (2, 37, 700):
+        got = ordering.running_before(rows, [], [F.coalesce("k", F.lit("")), F.col("id")], bins=bins).collect()
+        want = {r.id: i for i, r in enumerate(rows.orderBy(*order).collect())}
+        assert {r.id: r.before for r in got} == want
+
+
+def test_distance_from_normal_is_taken_at_every_residual(spark):
+    from statistics import NormalDist, fmean, pstdev
+
+    from valora.operators.models import residual_shape
+
+    rnd = random.Random(11)
+    data = {"a": [rnd.choice([-1.0, 0.0, 0.5, 3.0]) for _ in range(60)], "b": [rnd.expovariate(1) for _ in range(50)], "c": [2.0] * 5}
+    df = spark.createDataFrame([(m, v) for m, vs in data.items() for v in [*vs, None]], "model STRING, res DOUBLE")
+    got = {r.model: r for r in residual_shape(df, "res").collect()}
+    for m in "ab":
+        vs, n = sorted(data[m]), len(data[m])
+        cdf = NormalDist(fmean(vs), pstdev(vs)).cdf
+        want = max(max(cdf(v) - sum(x < v for x in vs) / n, sum(x <= v for x in vs) / n - cdf(v)) for v in vs)
+        assert got[m].n == n and abs(got[m].ks - want) < 1e-4
+    assert got["c"].n == 5 and got["c"].ks is None
+
+
 def listings(n, seed, hot=True):
     rnd = random.Random(seed)
     out = []

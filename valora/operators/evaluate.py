@@ -244,6 +244,11 @@ def _beta_fraction(a: float, b: float, x: float, rounds: int = 300) -> float:
     return h
 
 
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    return pd.Series([math.erfc(-v / math.sqrt(2)) / 2 for v in z], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def tail_probability(kind: pd.Series, stat: pd.Series, dof: pd.Series) -> pd.Series:
     """p-value column for tables of many tests; ``kind`` is chi2, normal or t."""

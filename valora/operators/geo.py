@@ -1,7 +1,8 @@
 """Radius counts between two sets of points, without comparing every pair.
 
 Equal coordinates are merged first, so a place that holds a large share of all rows is one point
-with a weight. The rest goes through two grid levels. Whole cells that lie inside the circle of a
+with a weight. The rest goes through two grid levels, in plain coordinates up to 80 degrees of
+latitude and in turned ones, whose equator runs through the poles, beyond. Whole cells that lie inside the circle of a
 point are added as a single count; cells outside are never looked at; only the points of cells the
 circle cuts are compared, with the exact distance.
 """
@@ -20,14 +21,41 @@ from valora.session import materialize
 
 KM_PER_DEGREE_LAT = 6371.0 * math.pi / 180
 FINE = 4  # fine cells per largest radius
+POLAR = 80.0  # points beyond this latitude are counted in turned coordinates
+MAX_RADIUS_KM = 500.0  # squares of cells stay far below a full turn
 
 
 def _grid(max_lat: float, radius_km: float) -> tuple[float, float]:
     """Cell height and width in degrees: a quarter of the radius, at the latitude where degrees of
     longitude are shortest."""
     height = radius_km / KM_PER_DEGREE_LAT / FINE
-    width = height / max(math.cos(math.radians(min(abs(max_lat), 89.0))), 1e-6)
-    return height, width
+    return height, height / math.cos(math.radians(max_lat))
+
+
+def _plain(lon: Column | None = None) -> Column:
+    lon = F.col("lon") if lon is None else lon
+    return F.struct(F.lit(False).alias("polar"), F.col("lat").alias("gy"), lon.alias("gx"))
+
+
+def _turned() -> Column:
+    """The same sphere, turned so that the poles lie on the equator; distances stay."""
+    y, x = F.radians("lat"), F.radians("lon")
+    up, east = F.degrees(F.asin(F.cos(y) * F.cos(x))), F.degrees(F.atan2(F.sin(y), F.cos(y) * F.sin(x)))
+    return F.struct(F.lit(True).alias("polar"), up.alias("gy"), east.alias("gx"))
+
+
+def _frames(margin: float, span: float) -> Column:
+    """Every grid position at which a target can be met: in both coordinate systems near their border, and
+    a turn further where it is within ``span`` degrees of the date line."""
+    lon = _within_turn()
+    low, high = F.abs("lat") <= POLAR + margin, F.abs("lat") >= POLAR - margin
+    return F.array_compact(F.array(
+        F.when(low, _plain(lon)), F.when(low & (lon >= 180 - span), _plain(lon - 360)), F.when(low & (lon <= span - 180), _plain(lon + 360)),
+        F.when(high, _turned())))
+
+
+def _within_turn() -> Column:
+    return F.when(F.abs("lon") > 180, F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).otherwise(F.col("lon"))
 
 
 def _cell(lat: str, lon: str, height: float, width: float) -> tuple[Column, Column]:
@@ -45,9 +73,12 @@ def radius_counts(
     """Number of targets of each category within each radius of each point.
 
     ``targets`` has ``lat``, ``lon`` and an array of categories. The result has one row per point
-    and one column ``<cat>_<metres>m`` per category and radius.
+    and one column ``<cat>_<metres>m`` per category and radius. Circles may hold a pole or cross the date
+    line; radii go up to 500 km.
     """
     radii = sorted(radii_km)
+    if radii[-1] > MAX_RADIUS_KM:
+        raise ValueError(f"radius above {MAX_RADIUS_KM} km")
     places = points.select(key, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
     spots = materialize(places.select("lat", "lon").distinct(), "spots")
     found = materialize(
@@ -57,23 +88,25 @@ def radius_counts(
         "targets",
     )
     limit = spots.agg(F.max(F.abs("lat")).alias("m")).unionByName(found.agg(F.max(F.abs("lat")).alias("m")))
-    # The widest latitude fixes the cell width; one degree more covers circles reaching beyond it.
-    max_lat = (limit.agg(F.max("m")).first()[0] or 0.0) + 1.0
+    # The widest latitude fixes the cell width; a degree and the radius cover circles reaching beyond it.
+    margin = radii[-1] / KM_PER_DEGREE_LAT * 1.01
+    max_lat = min(limit.agg(F.max("m")).first()[0] or 0.0, POLAR) + 1.0 + margin
     height, width = _grid(max_lat, radii[-1])
-    tx, ty = _cell("lat", "lon", height, width)
-    found = found.withColumn("tx", tx).withColumn("ty", ty)
-    cells = found.groupBy("tx", "ty").agg(*[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(len(cats))])
+    tx, ty = _cell("gy", "gx", height, width)
+    found = found.select("*", F.inline(_frames(margin, (FINE + 2) * width))).withColumn("tx", tx).withColumn("ty", ty)
+    cells = found.groupBy("polar", "tx", "ty").agg(*[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(len(cats))])
 
     # The cells a circle can touch form a fixed square around the point's own cell. Longitude cells
     # were sized at the widest latitude, where they are shortest in km, so FINE + 1 steps suffice.
-    px, py = _cell("lat", "lon", height, width)
+    placed = spots.select("lat", "lon", F.inline(F.array(F.when(F.abs("lat") > POLAR, _turned()).otherwise(_plain(_within_turn())))))
+    px, py = _cell("gy", "gx", height, width)
     steps = F.sequence(F.lit(-FINE - 1), F.lit(FINE + 1))
     around = (
-        spots.withColumn("dx", F.explode(steps)).withColumn("tx", px + F.col("dx"))
+        placed.withColumn("dx", F.explode(steps)).withColumn("tx", px + F.col("dx"))
         .withColumn("dy", F.explode(steps)).withColumn("ty", py + F.col("dy")).drop("dx", "dy")
     )
     # Bounds of the distance to any point of the cell from the distance to its centre.
-    center = haversine("lat", "lon", (F.col("tx") + 0.5) * height, (F.col("ty") + 0.5) * width)
+    center = haversine("gy", "gx", (F.col("tx") + 0.5) * height, (F.col("ty") + 0.5) * width)
     # Half the diagonal, at the latitude inside the cell where it is longest.
     near_equator = F.least(F.abs(F.col("tx") * height), F.abs((F.col("tx") + 1) * height))
     half_w = F.lit(width / 2 * KM_PER_DEGREE_LAT) * F.cos(F.radians(near_equator))
@@ -91,11 +124,11 @@ def radius_counts(
             for j in range(len(radii)) for i in range(len(cats))
         ]
 
-    by_cell = around.join(cells, ["tx", "ty"]).groupBy("lat", "lon").agg(*columns(whole))
-    edge = around.filter(cut).select("lat", "lon", "tx", "ty", "c", "h")
-    dots = found.select("tx", "ty", F.col("lat").alias("la"), F.col("lon").alias("lo"), *[f"n_{i}" for i in range(len(cats))])
+    by_cell = around.join(cells, ["polar", "tx", "ty"]).groupBy("lat", "lon").agg(*columns(whole))
+    edge = around.filter(cut).select("lat", "lon", "polar", "tx", "ty", "c", "h")
+    dots = found.select("polar", "tx", "ty", F.col("lat").alias("la"), F.col("lon").alias("lo"), *[f"n_{i}" for i in range(len(cats))])
     dist = haversine("lat", "lon", "la", "lo")
-    pairs = edge.join(dots, ["tx", "ty"]).withColumn("d", dist).filter(F.col("d") <= radii[-1])
+    pairs = edge.join(dots, ["polar", "tx", "ty"]).withColumn("d", dist).filter(F.col("d") <= radii[-1])
     exact = [~whole[j] & ~none[j] & (F.col("d") <= radii[j]) for j in range(len(radii))]
     by_pair = pairs.groupBy("lat", "lon").agg(*columns(exact))
     names = {f"s_{j}_{i}": f"{c}_{round(r * 1000)}m" for j, r in enumerate(radii) for i, c in enumerate(cats)}

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from valora.functions import fixed
 from valora.functions.numeric import half_up, target_transform
 from valora.operators import encode, evaluate, sampling
+from valora.operators.evaluate import normal_cdf
+from valora.operators.ordering import running_before
 from valora.operators.quantile import exact_quantiles
 from valora.session import materialize
 
@@ -279,21 +279,17 @@ def principal_components(df: DataFrame, cols: Sequence[str], k: int = 2) -> Data
 def residual_shape(df: DataFrame, res: str, by: str = "model") -> DataFrame:
     """Mean, sd, skewness, kurtosis and the distance of the residuals from a normal distribution.
 
-    The distance is taken at 199 fixed probabilities: the rows are counted between the normal
-    quantiles, and the running share is compared with the probability.
+    The distance is the largest gap between the normal distribution and the running share of the rows,
+    just before and at every distinct residual (null where all residuals are equal).
     """
     base = df.groupBy(by).agg(
         F.count(res).alias("n"), F.avg(res).alias("mean"), F.stddev_pop(res).alias("sd"), F.skewness(res).alias("skew"), F.kurtosis(res).alias("kurt")
     )
-    probs = [i / 200 for i in range(1, 200)]
-    cuts = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in probs])
     stats = materialize(base, "shape")
-    rows = encode.attach(df.select(by, F.col(res).alias("r")), stats.select(by, "n", "mean", "sd"), [by], store=False)
-    u = (F.col("r") - F.col("mean")) / F.col("sd")
-    cell = F.size(F.filter(F.lit(cuts), lambda z: z < u))
-    counts = rows.groupBy(by, cell.alias("cell")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    # At most 200 rows per group enter this window.
-    upto = F.sum("k").over(W.partitionBy(by).orderBy("cell"))
-    gap = F.abs(upto / F.col("n") - (F.col("cell") + 1) / 200)
-    dist = counts.withColumn("gap", gap).filter(F.col("cell") < len(probs)).groupBy(by).agg(F.max("gap").alias("ks"))
-    return stats.join(dist, by).select(by, "n", *[half_up(c, 4).alias(c) for c in ("mean", "sd", "skew", "kurt", "ks")])
+    counts = df.where(F.col(res).isNotNull()).groupBy(by, F.col(res).alias("r")).agg(F.count("*").alias("k"))
+    ranked = running_before(materialize(counts, "residuals"), [by], [F.col("r")], F.col("k"))
+    rows = encode.attach(ranked, stats.select(by, "n", "mean", "sd"), [by], store=False).where("sd > 0")
+    p = normal_cdf((F.col("r") - F.col("mean")) / F.col("sd"))
+    gap = F.greatest(p - F.col("before") / F.col("n"), (F.col("before") + F.col("k")) / F.col("n") - p)
+    dist = rows.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"))
+    return stats.join(dist, by, "left").select(by, "n", *[half_up(c, 4).alias(c) for c in ("mean", "sd", "skew", "kurt", "ks")])

@@ -7,6 +7,7 @@ window runs inside (group, bin) only. The order must be total (end it with a uni
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,11 @@ from valora.operators.quantile import attach
 from valora.session import materialize
 
 SAMPLE_PER_BIN = 32
-MAX_BINS = 512
 
 
 def bin_count(df: DataFrame) -> int:
-    """As many bins as the session has shuffle partitions, within bounds."""
-    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(setting, MAX_BINS))
+    """As many bins as the session has shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bins: int | None = None) -> DataFrame:
@@ -41,12 +40,17 @@ def with_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bins:
     sorted_sample = F.array_sort(F.collect_list("__ord"))
     every = SAMPLE_PER_BIN
     split = F.filter(sorted_sample, lambda x, i: (i % every) == every - 1)
-    splits = picked.groupBy(*keys).agg(split.alias("__splits"))
+    # Every stride-th splitter comes first, so a row meets about twice the root of the bins.
+    stride = math.isqrt(bins) + 1
+    coarse = F.filter("__all", lambda x, i: (i % stride) == stride - 1)
+    splits = picked.groupBy(*keys).agg(split.alias("__all")).select(*keys, F.struct("__all", coarse.alias("__coarse")).alias("__splits"))
     if keys:
         placed = attach(rows, splits, keys)
     else:
         placed = rows.withColumn("__splits", materialize(splits, "splits").scalar())
-    position = F.size(F.filter("__splits", lambda s: s < F.col("__ord")))
+    before = F.size(F.filter("__splits.__coarse", lambda s: s < F.col("__ord"))) * stride
+    near = F.slice("__splits.__all", before + 1, F.lit(stride))
+    position = before + F.size(F.filter(near, lambda s: s < F.col("__ord")))
     return placed.withColumn("__bin", F.coalesce(position, F.lit(0))).drop("__splits")
 
 

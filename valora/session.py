@@ -51,10 +51,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the setting is absent (tests on one machine) a fresh local folder is used.
+    Only in local mode, where the setting may be absent, a fresh local folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark, "_valora_scratch", None)
         if not root:
             root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
