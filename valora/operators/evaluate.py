@@ -98,7 +98,7 @@ def mcnemar(pairs: DataFrame, a: str, b: str, threshold: float, by: Sequence[str
     return cells.withColumn("chi2", F.when(n > 0, d * d / n).otherwise(0.0))
 
 
-def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def wilcoxon(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Signed-rank statistic with zeros dropped and the tie-corrected normal approximation.
 
     Equal differences are counted first; the ranks come from running totals over the distinct
@@ -106,12 +106,12 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
     d = F.col(a) - F.col(b)
     counts = (
-        pairs.select(F.abs(d).alias("v"), (d > 0).alias("up")).filter("v > 0")
-        .groupBy("v").agg(F.count("*").alias("t"), F.count_if("up").alias("plus"))
+        pairs.select(*by, F.abs(d).alias("v"), (d > 0).alias("up")).filter("v > 0")
+        .groupBy(*by, "v").agg(F.count("*").alias("t"), F.count_if("up").alias("plus"))
     )
-    ranked = running_before(counts, [], [F.col("v")], F.col("t"))
+    ranked = running_before(counts, by, [F.col("v")], F.col("t"))
     rank = F.col("before") + (F.col("t") + 1) / 2
-    s = ranked.agg(
+    s = ranked.groupBy(*by).agg(
         F.sum("t").alias("n"), F.sum(rank * F.col("plus")).alias("w_plus"),
         F.sum(rank * (F.col("t") - F.col("plus"))).alias("w_minus"),
         F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
@@ -119,7 +119,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     nd = F.col("n").cast("double")
     var = nd * (nd + 1) * (2 * nd + 1) / 24 - F.col("ties") / 48
     w = F.least("w_plus", "w_minus")
-    return s.select("n", w.alias("w"), ((w - nd * (nd + 1) / 4) / F.sqrt(var)).alias("z"))
+    return s.select(*by, "n", w.alias("w"), ((w - nd * (nd + 1) / 4) / F.sqrt(var)).alias("z"))
 
 
 def average_ranks(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
@@ -132,11 +132,11 @@ def average_ranks(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     return attach(df.select(*keep, value), ranks, [value])
 
 
-def dm_test(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def dm_test(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Diebold–Mariano as a one-sample t on |a| - |b|."""
     d = F.abs(F.col(a)) - F.abs(F.col(b))
-    return pairs.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).select(
-        "n", "mean", (F.col("mean") / (F.col("sd") / F.sqrt("n"))).alias("t")
+    return pairs.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).select(
+        *by, "n", "mean", (F.col("mean") / (F.col("sd") / F.sqrt("n"))).alias("t")
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,44 +273,50 @@ def _(c: Context) -> DataFrame:
     return got.select("model", half_up("parseable_pct").alias("parseable_pct"), "with_anchor", half_up("respected_pct").alias("respected_pct"))
 
 
-_PAIRS = f""", e AS (SELECT id, model, {_E} AS e FROM prediction), p AS (SELECT a.id, a.e AS a, b.e AS b FROM (SELECT * FROM e WHERE model = 'a') a
-    JOIN (SELECT * FROM e WHERE model = 'b') b ON a.id = b.id WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"""
+_PAIRS = f""", e AS (SELECT id, model, {_E} AS e FROM prediction), p AS (SELECT a.id, a.model AS m1, b.model AS m2, a.e AS a, b.e AS b
+    FROM e a JOIN e b ON a.id = b.id AND a.model < b.model WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"""
 
 
 def error_pairs(c: Context) -> DataFrame:
-    return joins.align(c.prediction.withColumn("err", evaluate.error_pct("precio_predicho", "precio_real")), "a", "b", "err")
+    """Aligned errors of every pair of models, named by m1 and m2."""
+    scored = c.prediction.withColumn("err", evaluate.error_pct("precio_predicho", "precio_real"))
+    parts = [joins.align(scored, m1, m2, "err").withColumns({"m1": F.lit(m1), "m2": F.lit(m2)}) for m1, m2 in combinations("abc", 2)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "m8_mcnemar",
-    _PAIRS + f""" SELECT n01, n10, {rnd('pow(abs(n01 - n10) - 1, 2) / CAST(n01 + n10 AS DOUBLE)', 6)} AS chi2
-        FROM (SELECT count(*) FILTER (WHERE a > 15 AND b <= 15) AS n01, count(*) FILTER (WHERE a <= 15 AND b > 15) AS n10 FROM p)""",
+    _PAIRS + f""" SELECT m1, m2, within, n01, n10, {rnd('pow(abs(n01 - n10) - 1, 2) / CAST(n01 + n10 AS DOUBLE)', 6)} AS chi2
+        FROM (SELECT m1, m2, within, count(*) FILTER (WHERE a > within AND b <= within) AS n01, count(*) FILTER (WHERE a <= within AND b > within) AS n10
+          FROM p, (VALUES (15), (20)) w(within) GROUP BY ALL)""",
     "prediction",
 )
 def _(c: Context) -> DataFrame:
-    return evaluate.mcnemar(error_pairs(c), "a", "b", 15.0).select("n01", "n10", half_up("chi2", 6).alias("chi2"))
+    pairs, out = error_pairs(c), ["m1", "m2", "within", "n01", "n10", half_up("chi2", 6).alias("chi2")]
+    tests = [evaluate.mcnemar(pairs, "a", "b", w, ["m1", "m2"]).withColumn("within", F.lit(int(w))).select(*out) for w in (15.0, 20.0)]
+    return reduce(DataFrame.unionByName, tests)
 
 
 @query(
     "m9_wilcoxon",
-    _PAIRS + f""", d AS (SELECT abs(a - b) AS v, a - b > 0 AS up FROM p WHERE a <> b),
-        r AS (SELECT v, up, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM d),
-        t AS (SELECT sum(pow(n, 3) - n) AS ties FROM (SELECT count(*) AS n FROM d GROUP BY v)),
-        s AS (SELECT count(*)::DOUBLE AS n, coalesce(sum(rk) FILTER (WHERE up), 0) AS wp, coalesce(sum(rk) FILTER (WHERE NOT up), 0) AS wm FROM r)
-        SELECT CAST(n AS BIGINT) AS n, least(wp, wm)::DOUBLE AS w, {rnd('(least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)', 6)} AS z FROM s, t""",
+    _PAIRS + f""", d AS (SELECT m1, m2, abs(a - b) AS v, a - b > 0 AS up FROM p WHERE a <> b),
+        r AS (SELECT m1, m2, v, up, rank() OVER (PARTITION BY m1, m2 ORDER BY v) + (count(*) OVER (PARTITION BY m1, m2, v) - 1) / 2.0 AS rk FROM d),
+        t AS (SELECT m1, m2, sum(pow(n, 3) - n) AS ties FROM (SELECT m1, m2, count(*) AS n FROM d GROUP BY m1, m2, v) GROUP BY m1, m2),
+        s AS (SELECT m1, m2, count(*)::DOUBLE AS n, coalesce(sum(rk) FILTER (WHERE up), 0) AS wp, coalesce(sum(rk) FILTER (WHERE NOT up), 0) AS wm FROM r GROUP BY m1, m2)
+        SELECT m1, m2, CAST(n AS BIGINT) AS n, least(wp, wm)::DOUBLE AS w, {rnd('(least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)', 6)} AS z FROM s JOIN t USING (m1, m2)""",
     "prediction",
 )
 def _(c: Context) -> DataFrame:
-    return evaluate.wilcoxon(error_pairs(c), "a", "b").select("n", "w", half_up("z", 6).alias("z"))
+    return evaluate.wilcoxon(error_pairs(c), "a", "b", ["m1", "m2"]).select("m1", "m2", "n", "w", half_up("z", 6).alias("z"))
 
 
 @query(
     "m10_diebold_mariano",
-    _PAIRS + f" SELECT count(*) AS n, {rnd('avg(abs(a) - abs(b))', 6)} AS mean, {rnd('avg(abs(a) - abs(b)) / (stddev_samp(abs(a) - abs(b)) / sqrt(count(*)))', 6)} AS t FROM p",
+    _PAIRS + f" SELECT m1, m2, count(*) AS n, {rnd('avg(abs(a) - abs(b))', 6)} AS mean, {rnd('avg(abs(a) - abs(b)) / (stddev_samp(abs(a) - abs(b)) / sqrt(count(*)))', 6)} AS t FROM p GROUP BY m1, m2",
     "prediction",
 )
 def _(c: Context) -> DataFrame:
-    return evaluate.dm_test(error_pairs(c), "a", "b").select("n", half_up("mean", 6).alias("mean"), half_up("t", 6).alias("t"))
+    return evaluate.dm_test(error_pairs(c), "a", "b", ["m1", "m2"]).select("m1", "m2", "n", half_up("mean", 6).alias("mean"), half_up("t", 6).alias("t"))
 
 
 @query(
@@ -374,12 +383,10 @@ def _(c: Context) -> DataFrame:
 
 @query("o4_tail_probabilities")
 def _(c: Context) -> DataFrame:
-    err = evaluate.error_pct("precio_predicho", "precio_real")
-    pairs = joins.align(c.prediction.withColumn("err", err), "a", "b", "err")
-    by_part = pairs.withColumn("part", F.col("id") % 20)
-    tests = evaluate.mcnemar(by_part, "a", "b", 15.0, ["part"])
+    by_part = error_pairs(c).withColumn("part", F.col("id") % 20)
+    tests = evaluate.mcnemar(by_part, "a", "b", 15.0, ["m1", "m2", "part"])
     got = evaluate.with_p_value(tests, "chi2", "chi2")
-    return got.select("part", "n01", "n10", half_up("chi2", 6).alias("chi2"), half_up("p", 6).alias("p"), "sig")
+    return got.select("m1", "m2", "part", "n01", "n10", half_up("chi2", 6).alias("chi2"), half_up("p", 6).alias("p"), "sig")
 
 
 @query("o5_target_transform", f"SELECT listing_id, {rnd('ln(1 + price)', 6)} AS log1p, {rnd('(pow(price, 0.5) - 1) / 0.5', 4)} AS boxcox, {rnd('price', 3)} AS back FROM listing", "listing")
