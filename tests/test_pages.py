@@ -64,3 +64,9 @@ def test_first_card_nested_price_and_paragraphs(spark):
     for html, n in ((card, 1), (card + card, 2), ("<p>x</p>" + card, 1)):
         rows = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").collect()
         assert [(r.name, r.price, r.description) for r in rows] == [("Casa azul grande", 9500.0, "Uno. Dos.")] * n
+
+
+def test_single_quoted_cards(spark):
+    html = """<article data-id='9'><h3 class='title'>Depto d'Or</h3><i class='price'>$1,000</i></article>"""
+    got = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").first()
+    assert (got.name, got.price) == ("Depto d'Or", 1000.0)

@@ -22,7 +22,7 @@ CARD_STARTS = [
     r'<article[^>]*class="[^"]*(?:posting|property|listing|inmueble)',
     r'<section[^>]*data-qa="[^"]*posting',
 ]
-JSONLD_SCRIPT = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+JSONLD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 STATE_SCRIPT = r"(?s)__NEXT_DATA__\s*=\s*(\{.*?\});"
 
 _ADDRESS = "STRUCT<streetAddress: STRING, addressLocality: STRING, addressRegion: STRING>"
@@ -49,8 +49,14 @@ def inner_text(c: str | Column, start: str) -> Column:
     return F.nullif(strip_tags(capture(c, rf"(?is)<(\w+)[^>]*{start}[^>]*>(.*?)</\1\s*>", 2)), F.lit(""))
 
 
+def double_quoted(html: str | Column) -> Column:
+    """Attributes in single quotes, inside tags, put in double quotes; nothing else changes."""
+    return F.regexp_replace(col(html), r"(?<=[\w-])\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '="$1"')
+
+
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card: the first kind of card element that occurs on the page decides."""
+    pages = pages.withColumn(html, double_quoted(html))
     tries = []
     for start in CARD_STARTS:
         # The blank makes a head, also for a page that begins with a card.
