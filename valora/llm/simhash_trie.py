@@ -32,17 +32,24 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)]
 
 
-def simhash(text: str, size: int = 3, seed: int = 42) -> int:
-    """Unsigned; a bit is 1 where over half of the shingle hashes have it."""
+def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> np.ndarray:
     runs = shingles(text, size)
-    if not runs:
-        return 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(r, seed) for r in runs), dtype="<u8", count=len(runs))
+    return np.fromiter((digest(r, seed) for r in runs), dtype="<u8", count=len(runs))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Unsigned; a bit is 1 where over half of the shingle hashes have it."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(runs), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str, size: int = 3, seed: int = 42) -> int:
+    return simhash_of(shingle_hashes(text, size, seed))
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
