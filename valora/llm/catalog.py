@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from valora.llm.bpe import decode, encode_documents, read_ranks
 from valora.llm.common import table, text_or_empty
+from valora.llm.dimension_scan import nearest_vectors
 from valora.llm.embedding_join import link_vectors
 from valora.llm.huffman_ids import read_id_files, write_id_files
+from valora.llm.importance_resampling import resample
 from valora.llm.license_automaton import scan_licences
 from valora.llm.order_minhash import fingerprint_edits
 from valora.llm.packing import cut_documents, pack_pieces
 from valora.llm.sentence_spans import drop_repeated_passages
 from valora.llm.simhash_trie import simhash_groups
 from valora.llm.site_quality import score_documents
+from valora.llm.vector_codes import encode_vectors
 from valora.llm.zip_warc import list_records, read_records, write_packages
 
 QUERIES = {}
@@ -110,3 +113,56 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), read_ranks(path)), 256).alias("decoded_sha256"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _moved_books(books: str, assigned: str) -> str:
+    """SQL of the codebooks after a round: the floor of the mean of each entry's parts; unused entries stay."""
+    return f"""
+  SELECT b.k, b.c, coalesce(n.m, b.m) AS m FROM {books} b LEFT JOIN (
+    SELECT k, c, list(CAST(v AS BIGINT) ORDER BY i) AS m
+    FROM (SELECT k, c, i, floor(sum(x[i]) / count(*)) AS v FROM {assigned}, wide, range(1, w + 1) t(i) GROUP BY k, c, i) GROUP BY k, c) n
+  ON b.k = n.k AND b.c = n.c"""
+
+
+def _nearest_books(books: str) -> str:
+    """SQL of every part's nearest entry; distance and index as one number, so that ties go to the first."""
+    return f"""
+  SELECT vec_id, label, k, any_value(x) AS x, min(d * 64 + c) % 64 AS c, min(d * 64 + c) // 64 AS d
+  FROM (SELECT p.*, b.c, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, m)]) AS BIGINT) AS d FROM p JOIN {books} b ON p.k = b.k)
+  GROUP BY vec_id, label, k"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH v AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+wide AS (SELECT CAST(max(len(e)) // 16 AS BIGINT) AS w FROM v),
+p AS (SELECT vec_id, label, k, e[k * w + 1:(k + 1) * w] AS x FROM v, wide, range(16) t(k)),
+b0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS c, x AS m
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+a0 AS ({_nearest_books('b0')}),
+b1 AS ({_moved_books('b0', 'a0')}),
+a1 AS ({_nearest_books('b1')}),
+b2 AS ({_moved_books('b1', 'a1')}),
+a2 AS ({_nearest_books('b2')}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(c AS BIGINT)), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY k, c)) FROM b2) AS codebooks_sha256
+FROM r
+"""
+
+
+@query
+def op12_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
