@@ -350,7 +350,7 @@ def test_stream_merge_equals_batch_and_survives_a_repeat(spark, tmp_path):
     src, dst = str(tmp_path / "in"), str(tmp_path / "out")
     df.repartition(5).write.parquet(src)
     for _ in range(2):  # the second run has lost its progress and reads everything again
-        incremental.stream_merge(spark, incremental.file_stream(spark, src, df.schema), dst, "source_url", "seen")
+        incremental.stream_merge(spark, incremental.file_stream(spark, src, df.schema), dst, "source_url")
         got = [r.source_url for r in incremental.read_batches(spark, dst, df.schema).collect()]
         assert sorted(got) == sorted({u for _, u, _, _ in base})
 
@@ -386,7 +386,7 @@ def test_stream_merge_keeps_earlier_runs(spark, tmp_path):
         spark.createDataFrame([(u, datetime.datetime(2024, 1, 1 + k), 1.0) for u in urls], schema).write.parquet(src)
         if k == 3:  # as if all progress were lost
             shutil.rmtree(f"{dst}/_progress")
-        incremental.stream_merge(spark, incremental.file_stream(spark, src, spark.read.parquet(src).schema), dst, "source_url", "seen", name=f"src{k}")
+        incremental.stream_merge(spark, incremental.file_stream(spark, src, spark.read.parquet(src).schema), dst, "source_url", name=f"src{k}")
         wanted = sorted({*wanted, *urls})
         got = incremental.read_batches(spark, dst, spark.read.parquet(src).schema)
         assert sorted(r.source_url for r in got.collect()) == wanted

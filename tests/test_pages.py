@@ -70,3 +70,34 @@ def test_single_quoted_cards(spark):
     html = """<article data-id='9'><h3 class='title'>Depto d'Or</h3><i class='price'>$1,000</i></article>"""
     got = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").first()
     assert (got.name, got.price) == ("Depto d'Or", 1000.0)
+
+
+def test_elements_of_the_same_name_inside_each_other(spark):
+    card = ('<div data-qa="posting"><div class="price"><div>MXN</div><div>9,500</div></div><div class="desc"><div>Uno.<br/><div>Dos.</div></div>Tres.</div>'
+            '<DIV class="location"><Div>Centro</DIV></div></div>')
+    for html in (card, card + "<div class='desc'>Pie 1,111</div>", f"<div>{card}</div>" * 2, card[:-6]):
+        rows = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").collect()
+        assert {(r.price, r.description, r.address) for r in rows} == {(9500.0, "Uno. Dos. Tres.", "Centro")}
+
+
+def test_a_card_ends_with_its_element(spark):
+    html = '<article data-id="9"><i class="price">$1,000</i></article><footer><article>Tel. 81 1234 5678</article>3 recámaras</footer>'
+    got = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").first()
+    assert (got.price, got.phone, got.bedrooms) == (1000.0, None, None)
+
+
+def test_unclosed_and_empty_elements(spark):
+    html = '<article data-id="9"><img class="price"><input class="price" value="3"><p class="price">$7,000<p class="desc">Bonito'
+    got = pages.parse_card(pages.extract_cards(one(spark, html)), "https://x.org").first()
+    assert got.price == 7000.0 and got.description == "Bonito"
+
+
+def test_single_quoted_pages_through_every_entry(spark):
+    html = "<div data-qa='posting X'><div class='price'>$9,500</div><a href='/p/1'>x</a></div>"
+    got = pages.extract_listings(one(spark, html), "https://x.org", "page_id").collect()
+    assert [(r.price, r.source_url) for r in got] == [(9500.0, "https://x.org/p/1")]
+    detail = "<meta name='description' content='Bonita casa'><h1>Casa</h1><div class='price'><div>MXN</div> <div>8,000</div></div>"
+    got = pages.parse_detail(spark.createDataFrame([("https://x.org/d", detail)], "url STRING, html STRING")).first()
+    assert (got.price, got.description) == (8000.0, "Bonita casa")
+    links = pages.harvest_links(one(spark, "<a href='/casa-1'>x</a><a href=\"/casa-2\">y</a>"), "https://x.org", 10).collect()
+    assert [r.link for r in links] == ["https://x.org/casa-1", "https://x.org/casa-2"]

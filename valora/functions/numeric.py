@@ -100,16 +100,3 @@ def unit_hash(key: str | Column, salt: object) -> Column:
     salt_col = salt.cast("string") if isinstance(salt, Column) else F.lit(str(salt))
     digest = F.substring(F.md5(F.concat(col(key).cast("string"), F.lit("|"), salt_col)), 1, 8)
     return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def poisson_weight(u: Column, depth: int = 10) -> Column:
-    """Poisson(1) draw by inversion of a uniform number, which is evaluated once."""
-    cum = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(depth)]
-
-    def draw(x: Column) -> Column:
-        total = F.lit(0)
-        for c in cum:
-            total = total + F.when(x >= F.lit(c), 1).otherwise(0)
-        return total
-
-    return F.transform(F.array(u), draw)[0]

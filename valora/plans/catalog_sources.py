@@ -89,20 +89,33 @@ def _(c: Context) -> DataFrame:
 
 
 def card_pages(c: Context) -> DataFrame:
-    """Result pages of up to eight adverts, in two of the supported card shapes."""
+    """Result pages of up to eight adverts, in two of the supported card shapes; a third of the cards nest elements
+    of one name, another third quote attributes with apostrophes."""
+    shape, money = F.col("listing_id") % 3, F.format_number("price", 2)
+    place = F.concat_ws(", ", "colonia", "municipio")
+    text = lambda *parts: F.concat(*[F.lit(p) if p.startswith("<") or p.endswith(">") else F.col(p) for p in parts])
+    price = (
+        F.when(shape == 0, F.concat(F.lit('<span data-qa="price">$'), money, F.lit(" MXN</span>")))
+        .when(shape == 1, F.concat(F.lit('<div data-qa="price"><div>MXN</div><div class="n"><div>'), money, F.lit("</div></div></div>")))
+        .otherwise(F.concat(F.lit("<span data-qa='price'><span>$"), money, F.lit("</span> MXN</span>")))
+    )
+    body = (
+        F.when(shape == 0, text('<div data-qa="posting-description">', "text", "</div>"))
+        .when(shape == 1, text('<div data-qa="posting-description"><div><div>', "text", "</div></div><div></div></div>"))
+        .otherwise(text("<div data-qa='posting-description'><p>", "text", "</p></div>"))
+    )
     inner = F.concat(
-        F.lit('<h2 data-qa="posting-title" class="t">'), F.concat_ws(" ", F.lit("Depto"), "colonia"), F.lit("</h2>"),
-        F.lit('<span data-qa="price">$'), F.format_number("price", 2), F.lit(" MXN</span>"),
-        F.lit('<a href="/detalle/'), F.col("listing_id").cast("string"), F.lit('">ver</a>'),
-        F.lit('<div data-qa="posting-description">'), "text", F.lit("</div>"),
-        F.lit('<p class="location">'), F.concat_ws(", ", "colonia", "municipio"), F.lit("</p>"),
+        F.lit('<h2 data-qa="posting-title" class="t">'), F.concat_ws(" ", F.lit("Depto"), "colonia"), F.lit("</h2>"), price,
+        F.when(shape == 2, "<a href='/detalle/").otherwise('<a href="/detalle/'), F.col("listing_id").cast("string"),
+        F.when(shape == 2, "'>ver</a>").otherwise('">ver</a>'), body,
+        F.when(shape == 2, "<p class='location'>").otherwise('<p class="location">'), place, F.lit("</p>"),
     )
     page = F.floor(F.col("listing_id") / 8)
     div = F.concat(F.lit('<div class="x" data-qa="posting PROPERTY">'), inner, F.lit("</div>"))
     article = F.concat(F.lit('<article data-id="'), F.col("listing_id").cast("string"), F.lit('">'), inner, F.lit("</article>"))
     cards = c.ad.select(page.alias("page_id"), "listing_id", F.when(page % 2 == 0, div).otherwise(article).alias("card"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_id", "card"))), lambda x: x["card"]), "\n")
-    return cards.groupBy("page_id").agg(F.concat(F.lit("<html><body><h1>Resultados</h1>"), body, F.lit("</body></html>")).alias("html"))
+    return cards.groupBy("page_id").agg(F.concat(F.lit("<html><body><h1>Resultados</h1>"), body, F.lit("<div>Pie de página</div></body></html>")).alias("html"))
 
 
 _PAGE = "CAST(floor(listing_id / 8) AS BIGINT)"
@@ -211,10 +224,15 @@ def _(c: Context) -> DataFrame:
 )
 def _(c: Context) -> DataFrame:
     # Even ids carry JSON-LD (types other than a dwelling are skipped and have no price), odd ids only markup.
-    markup = F.concat(
+    plain = F.concat(
         F.lit('<html><head><meta name="description" content="Amplia oficina, 77 m2"></head><body><h1>Oficina en '),
         "colonia", F.lit('</h1><b class="main-price">$'), F.format_number("price", 2), F.lit("</b> Tiene 77 m2</body></html>"),
     )
+    nested = F.concat(
+        F.lit("<html><head><meta name='description' content='Amplia oficina, 77 m2'></head><body><h1>Oficina en "), "colonia",
+        F.lit("</h1><div class='main-price'><div>MXN</div><div>"), F.format_number("price", 2), F.lit("</div></div><div>Tiene 77 m2</div></body></html>"),
+    )
+    markup = F.when(F.col("listing_id") % 3 == 0, nested).otherwise(plain)
     ld = F.to_json(F.array(F.struct(
         F.when(F.col("listing_id") % 4 == 2, "Person").otherwise("Apartment").alias("@type"),
         F.concat_ws(" ", F.lit("Depto"), "colonia").alias("name"),

@@ -22,6 +22,7 @@ CARD_STARTS = [
     r'<article[^>]*class="[^"]*(?:posting|property|listing|inmueble)',
     r'<section[^>]*data-qa="[^"]*posting',
 ]
+VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"  # elements without content
 JSONLD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 STATE_SCRIPT = r"(?s)__NEXT_DATA__\s*=\s*(\{.*?\});"
 
@@ -44,9 +45,43 @@ def strip_tags(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def balanced(rest: Column, name: Column) -> Column:
+    """``rest`` up to the tag that closes an element ``name`` opened before it; all of it where none does.
+
+    The text is cut in front of every tag; a running depth goes up at each start tag of that name and down
+    at each end tag, and the element ends where it comes back to nought.
+    """
+    def follow(state: Column, piece: Column) -> Column:
+        mine = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][\w-]*)", 1)) == name
+        step = F.when(~mine | piece.rlike(r"^<[^>]*/>"), 0).when(piece.startswith("</"), -1).otherwise(1)
+        return _let(state["depth"] + step, lambda depth: F.struct(
+            depth.alias("depth"), (state["at"] + 1).alias("at"),
+            F.when((state["end"] < 0) & (depth == 0), state["at"]).otherwise(state["end"]).alias("end")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+    return _let(F.split(rest, r"(?=</?[A-Za-z])"), lambda pieces: _let(
+        F.aggregate(pieces, start, follow, lambda s: s["end"]),
+        lambda end: F.when(end < 0, rest).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest(end, F.lit(0))), ""))))
+
+
+def _behind(html: Column, tag: Column) -> Column:
+    return F.substr(html, F.position(tag, html) + F.length(tag))
+
+
+def _name_of(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, r"^<([A-Za-z][\w-]*)", 1))
+
+
 def inner_text(c: str | Column, start: str) -> Column:
-    """Text of the first element whose start tag matches, up to the first closing tag of its own name."""
-    return F.nullif(strip_tags(capture(c, rf"(?is)<(\w+)[^>]*{start}[^>]*>(.*?)</\1\s*>", 2)), F.lit(""))
+    """Text of the first element whose start tag matches, up to the tag that closes it; elements without content are passed over."""
+    tag = capture(c, rf"(?is)(<(?!(?:{VOID})\b)[a-z][\w-]*[^>]*{start}[^>]*>)")
+    text = _let(tag, lambda t: F.when(t.isNotNull(), balanced(_behind(col(c), t), _name_of(t))))
+    return F.nullif(strip_tags(text), F.lit(""))
 
 
 def double_quoted(html: str | Column) -> Column:
@@ -54,14 +89,20 @@ def double_quoted(html: str | Column) -> Column:
     return F.regexp_replace(col(html), r"(?<=[\w-])\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '="$1"')
 
 
+def _element(piece: Column) -> Column:
+    """The element that ``piece`` begins with, without its end tag."""
+    return _let(F.regexp_extract(piece, r"^<[^>]*>", 0), lambda tag: F.concat(tag, balanced(_behind(piece, tag), _name_of(tag))))
+
+
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per card: the first kind of card element that occurs on the page decides."""
+    """One row per card: the first kind of card element that occurs on the page decides. A card ends
+    where its element is closed, or where the next one begins."""
     pages = pages.withColumn(html, double_quoted(html))
     tries = []
     for start in CARD_STARTS:
         # The blank makes a head, also for a page that begins with a card.
         pieces = F.split(F.concat(F.lit(" "), F.col(html)), rf"(?i)(?={start})")
-        cards = F.slice(pieces, F.lit(2), F.size(pieces))
+        cards = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _element)
         tries.append(F.when((F.size(pieces) > 1) & F.col(html).rlike(f"(?i){start}"), cards))
     found = pages.withColumn("__cards", F.coalesce(*tries))
     return found.select(
@@ -185,6 +226,7 @@ def extract_state(pages: DataFrame, base_url: str, html: str = "html", path: str
 
 def parse_detail(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One listing per detail page: its JSON-LD if it has one, else heading, price and description."""
+    pages = pages.withColumn(html, double_quoted(html))
     h1 = F.coalesce(strip_tags(capture(html, r"(?is)<h1[^>]*>(.*?)</h1>")), F.lit(""))
     price = parse_price(inner_text(html, r'class="[^"]*(?:price|precio)[^"]*"'))
     meta = F.coalesce(capture(html, r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"'), F.lit(""))
@@ -216,7 +258,7 @@ def harvest_links(
     pages: DataFrame, base_url: str, k: int = 10, pattern: str = fixed.PROPERTY_LINK, html: str = "html"
 ) -> DataFrame:
     """Distinct absolute links that match the pattern, the first ``k`` of each page in page order."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<a[^>]*href="([^"]*)"'), F.lit(1))
+    hrefs = F.regexp_extract_all(double_quoted(html), F.lit(r'(?is)<a[^>]*href="([^"]*)"'), F.lit(1))
     full = F.transform(hrefs, lambda h: abs_url(base_url, h))
     wanted = F.array_distinct(F.filter(full, lambda u: u.rlike(pattern)))
     return pages.select(
@@ -324,7 +366,7 @@ def extract_listings(pages: DataFrame, base_url: str, key: str, html: str = "htm
     def shaped(df: DataFrame) -> DataFrame:
         return df.withColumn("bedrooms", F.col("bedrooms").cast("double")).select(*fields)
 
-    rows = pages.select(key, html)
+    rows = pages.select(key, double_quoted(html).alias(html))
     has_cards = F.coalesce(F.col(html).rlike("(?i)" + "|".join(CARD_STARTS)), F.lit(False))
     from_cards = shaped(parse_card(extract_cards(rows.filter(has_cards), html), base_url))
     plain = rows.filter(~has_cards)

@@ -13,11 +13,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from valora.operators.joins import pending
-from valora.operators.ordering import first_by
+from valora.operators.models import load_model
+from valora.operators.ordering import first_by, running_before
+from valora.operators.quantile import attach
 from valora.operators.segment import valuation_flags
 from valora.operators.select import valid_price
+from valora.session import materialize
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -40,13 +46,15 @@ def skip_finished(units: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     return pending(units, metrics, key)
 
 
-def _run(stream: DataFrame, spark: SparkSession, target: str, name: str, each: Callable[[DataFrame, str], None]) -> None:
-    """Run ``each`` on every batch with the name of its folder."""
+def _run(stream: DataFrame, spark: SparkSession, target: str, name: str, each: Callable[[DataFrame, str, str], None]) -> None:
+    """Run ``each`` on every batch with the id of the run and the name of the batch's folder."""
     progress = f"{target}/_progress/{name}"
+    # State of every key ever seen does not fit into memory: it lies on disk and is kept with the progress.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         run = json.loads(batch.sparkSession.read.text(f"{progress}/metadata").first()[0])["id"]
-        each(batch, f"batch={batch_id}-{run}")
+        each(batch, run, f"batch={batch_id}-{run}")
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -56,40 +64,56 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_merge(spark: SparkSession, source: DataFrame, target: str, key: str, time: str, delay: str = "30 days", name: str = "main") -> None:
-    """Append the rows of a stream whose key is not in the target yet.
+def _not_elsewhere(batch: DataFrame, target: str, key: str, run: str) -> DataFrame:
+    """Rows whose key no other run wrote to the target; the keys of this run are in its state.
 
-    Repeats inside the watermark are dropped by the stream; earlier ones by an anti-join of each
-    batch against the target. Every batch writes its own folder and replaces it when it is run
-    again, so a batch that is repeated after a failure adds nothing twice.
+    The filter on the path prunes files when they are listed: what this run wrote is not read again.
     """
-    deduped = source.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    key_field = StructType([batch.schema[key]])
+    done = batch.sparkSession.read.schema(key_field).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).parquet(target)
+    return pending(batch, done.where(~F.col("_metadata.file_path").contains(f"-{run}/")), key)
 
-    def upsert(batch: DataFrame, folder: str) -> None:
-        session = batch.sparkSession
-        done = session.read.schema(batch.schema).option("recursiveFileLookup", True).option(
-            "ignoreMissingFiles", True).parquet(target)
-        other = done.filter(~F.input_file_name().contains(f"/{folder}/"))
-        fresh = pending(first_by(batch, [key], [F.col(time)]), other, key)
-        fresh.write.mode("overwrite").parquet(f"{target}/{folder}")
 
-    # An empty first table, so that every batch finds one.
-    spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
-    _run(deduped, spark, target, name, upsert)
+def _ready(spark: SparkSession, target: str, schema: StructType) -> None:
+    """An empty first table, so that every batch finds one."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
+def stream_merge(spark: SparkSession, source: DataFrame, target: str, key: str, name: str = "main") -> None:
+    """Append the rows of a stream whose key is not in the target yet.
+
+    One state entry per key, kept with the progress, tells which keys came before, in this batch or any
+    earlier one, also after a restart; of several rows of a key in one batch any one stays, and rows without
+    a key count as one key. Only what other sources (or a run whose progress was deleted) wrote to the target
+    is read, for an anti-join. Every batch writes its own folder and replaces it when it is run again, so a batch
+    that is repeated after a failure adds nothing twice.
+    """
+    def append(batch: DataFrame, run: str, folder: str) -> None:
+        _not_elsewhere(batch, target, key, run).write.mode("overwrite").parquet(f"{target}/{folder}")
+
+    _ready(spark, target, source.schema)
+    _run(source.dropDuplicates([key]), spark, target, name, append)
 
 
 def incremental_enrich(spark: SparkSession, source: DataFrame, enrich: Callable[[DataFrame], DataFrame], target: str, key: str, name: str = "main") -> None:
-    """Enrich each arriving batch once; the stream's progress replaces a partial-result file."""
-    def step(batch: DataFrame, folder: str) -> None:
-        enrich(first_by(batch, [key], [F.col(key)])).write.mode("overwrite").parquet(f"{target}/{folder}")
+    """Enrich every key once: rows whose key was enriched before, in any batch or run, are passed over.
+
+    As in :func:`stream_merge`, the stream's state holds the keys of this source, and an anti-join those that
+    others enriched. ``enrich`` keeps the column ``key``.
+    """
+    def step(batch: DataFrame, run: str, folder: str) -> None:
+        enrich(_not_elsewhere(batch, target, key, run)).write.mode("overwrite").parquet(f"{target}/{folder}")
+
+    _ready(spark, target, StructType([source.schema[key]]))
+    _run(source.dropDuplicates([key]), spark, target, name, step)
 
-    _run(source, spark, target, name, step)
 
+def stream_score(spark: SparkSession, source: DataFrame, model_path: str, target: str, pct: float = 20.0, name: str = "main") -> None:
+    """Score arriving listings with the model saved at ``model_path`` and flag those far from the estimate."""
+    model = load_model(spark, model_path)
 
-def stream_score(spark: SparkSession, source: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, pct: float = 20.0, name: str = "main") -> None:
-    """Score arriving listings with a fitted model and flag those far from the estimate."""
-    def step(batch: DataFrame, folder: str) -> None:
-        valuation_flags(score(batch), pct=pct).write.mode("overwrite").parquet(f"{target}/{folder}")
+    def step(batch: DataFrame, run: str, folder: str) -> None:
+        valuation_flags(model.score(batch), pct=pct).write.mode("overwrite").parquet(f"{target}/{folder}")
 
     _run(source, spark, target, name, step)
 
@@ -106,10 +130,31 @@ def market_pulse(df: DataFrame, zone: str, time: str, value: str) -> DataFrame:
     return exact_quantiles(rows, [zone, "week"], value, {"median": 0.5})
 
 
-def market_pulse_stream(source: DataFrame, zone: str, time: str, value: str, delay: str = "2 days") -> DataFrame:
-    """The same as a stream: late rows beyond the delay are dropped, the median is approximate."""
-    return (
-        source.withWatermark(time, delay).groupBy(zone, F.window(time, "7 days").alias("w"))
-        .agg(F.count(value).alias("n"), F.percentile_approx(value, 0.5, 10_000).alias("median"))
-        .select(zone, F.col("w.start").alias("week"), "n", "median")
+def market_pulse_stream(spark: SparkSession, source: DataFrame, target: str, zone: str, time: str, value: str, delay: str = "2 days",
+                        name: str = "main") -> None:
+    """Append each week of each zone when it closes: rows and exact median, late rows left out.
+
+    The state of an open week holds its distinct values with their counts, not its rows. A week closes when the
+    latest time seen, less ``delay``, passes its end: all its counts come out in that batch, and the median
+    is read off their running totals. Rows of a week that is closed already are dropped; open weeks wait
+    for more data. Rows without a value or a time count for nothing.
+    """
+    counted = (
+        source.where(F.col(value).isNotNull()).withWatermark(time, delay)
+        .groupBy(F.col(zone), F.window(time, "7 days").alias("w"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+        .select(zone, F.col("w.start").alias("week"), "v", "k")
     )
+
+    def step(batch: DataFrame, run: str, folder: str) -> None:
+        weighted_median(materialize(batch, "closed-weeks"), [zone, "week"], "v", "k").write.mode("overwrite").parquet(f"{target}/{folder}")
+
+    _run(counted, spark, target, name, step)
+
+
+def weighted_median(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """Exact median of each group of (value, count) rows with distinct values, and the rows they stand for."""
+    total = materialize(counts.groupBy(*keys).agg(F.sum(count).alias("n")), "totals")
+    placed = attach(running_before(counts, keys, [F.col(value)], F.col(count)), total, keys)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda at: F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col(count)), F.col(value)))
+    return placed.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("median"), F.max("n").alias("n"))
