@@ -24,9 +24,7 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a \n b", "a\n\
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def crc(ids):
@@ -154,3 +152,30 @@ def test_codes_are_optimal_prefix_free_and_limited():
         for d, (data, blocks) in zip(docs, encode_ids(docs, codes, lengths)):
             n = np.minimum(256, len(d) - 256 * np.arange(len(blocks)))
             assert decode_blocks(data, blocks, n, *decode_table(lengths)).tolist() == d.tolist()
+
+
+def test_added_tokens_as_the_library_takes_them(spark, tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "a <|endof text|> b"]
+    e = ChunkEncoder(PATH, 100)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(e.encode(texts)[0], "<u4").tolist() == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in read_id_files(write_id_files(docs, PATH)).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_bins_that_stay_open_are_kept(spark, monkeypatch):
+    monkeypatch.setattr("valora.llm.packing.LEVELS", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 1500, 600))]
+    got = pack_pieces(spark.createDataFrame(rows, "doc_id long, length long"), group_rows=16).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == rows
+    check_packing(got)
+
+
+def test_null_ids_in_files_of_their_own(spark):
+    rows = [(None, f"text {i % 7}", "", "", "") for i in range(60)] + [(i, f"doc {i}", "", "", "") for i in range(50, 0, -1)]
+    got = read_id_files(write_id_files(spark.createDataFrame(rows, SCHEMA), PATH, files=3)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 60 + list(range(1, 51))
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()]

@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def write_id_files(
 
     Documents are in ascending order of id over the files by ``part`` and within each; null ids come first,
     ties in any order. A null text counts as empty. Other columns are ignored. ``files`` defaults to the
-    number of shuffle partitions. Texts are tokenized once, into a stored table of ids; the code is made from
+    number of shuffle partitions. More than 65,536 different ids have no codes of 16 bits: that fails the job. Texts are tokenized once, into a stored table of ids; the code is made from
     the counts of all of them, then they are encoded. Each task attempt writes a file of its own name, and only those of
     finished tasks are listed.
     """
@@ -127,34 +128,36 @@ def write_id_files(
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     target = target or scratch_path(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    tail = np.array([end_id], dtype="<u4").tobytes()
+    kind = encoder(tokenizer_path).kind
+    tail = np.array([end_id], dtype=kind).tobytes()
 
     def tokenize(batches):
-        for pdf in batches:
-            raw = [x + tail for x in encoder(tokenizer_path).encode(list(pdf["text"]))]
-            if len(encoder(tokenizer_path).opens) <= 1 << 16:
-                raw = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in raw]
-            yield pd.DataFrame({"nil": pdf["nil"], "id": pdf["id"], "ids": raw})
+        for batch in batches:
+            raw = [x + tail for x in encoder(tokenizer_path).encode_short(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("nil"), batch.column("id"), pa.array(raw, pa.binary())], names=["nil", "id", "ids"])
 
-    def flat(pdf: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(pdf["ids"]), dtype="<u2" if narrow else "<u4")
+    def flat(column: pa.Array) -> np.ndarray:
+        """The ids of all rows of a binary column, which lie behind each other in its buffer."""
+        if not len(column):
+            return np.zeros(0, kind)
+        edges = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], dtype=np.uint8)[edges[0]:edges[-1]].view(kind)
 
-    narrow = len(encoder(tokenizer_path).opens) <= 1 << 16
     keyed = rows.select(F.col("id").isNull().alias("nil"), F.coalesce("id", F.lit(0)).alias("id"), "text")
     table_path = scratch_path(spark, "ids")
-    keyed.mapInPandas(tokenize, "nil boolean, id long, ids binary").write.option("compression", "zstd").parquet(table_path)
+    keyed.mapInArrow(tokenize, "nil boolean, id long, ids binary").write.option("compression", "zstd").parquet(table_path)
     coded_ids = spark.read.schema("nil boolean, id long, ids binary").parquet(table_path)
 
     def count(batches):
         seen = np.zeros(0, dtype=np.int64)
-        for pdf in batches:
-            more = np.bincount(flat(pdf), minlength=len(seen))
+        for batch in batches:
+            more = np.bincount(flat(batch.column("ids")), minlength=len(seen))
             more[:len(seen)] += seen
             seen = more
         at = np.nonzero(seen)[0]
-        yield pd.DataFrame({"symbol": at, "n": seen[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(seen[at])], names=["symbol", "n"])
 
-    found = coded_ids.select("ids").mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    found = coded_ids.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.symbol for r in found], default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r.symbol] = r.n
@@ -163,15 +166,21 @@ def write_id_files(
     cuts = rows.agg(F.percentile_approx("id", [k / files for k in range(1, files)] or [0.5], max(10_000, 20 * files))).first()[0] or []
     edges = np.array(sorted(set(cuts)), dtype=np.int64)
 
+    # Rows without an id stand before all others, in files of their own.
+    nil_parts = files if rows.where("id is null").limit(1).count() else 0
+
     def encode(batches):
-        for pdf in batches:
-            sizes = pdf["ids"].map(len).to_numpy() // (2 if narrow else 4)
-            docs_of = np.split(flat(pdf), np.cumsum(sizes)[:-1]) if len(pdf) else []
+        for batch in batches:
+            raw, column = batch.to_pandas(), batch.column("ids")
+            sizes = raw["ids"].map(len).to_numpy() // kind.itemsize
+            docs_of = np.split(flat(column), np.cumsum(sizes)[:-1]) if len(raw) else []
             coded = encode_ids(docs_of, codes, lengths)
-            yield pd.DataFrame({
-                "part": np.where(pdf["nil"], 0, np.searchsorted(edges, pdf["id"], side="left")), "nil": pdf["nil"], "id": pdf["id"],
-                "n": sizes, "codes": [c for c, _ in coded], "blocks": [b.tobytes() for _, b in coded],
-            })
+            part = nil_parts + np.searchsorted(edges, raw["id"], side="left")
+            spread = [zlib.crc32(x) % files if nil else 0 for x, nil in zip(raw["ids"], raw["nil"])]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.where(raw["nil"], spread, part), pa.int32()), batch.column("nil"), batch.column("id"), pa.array(sizes, pa.int64()),
+                pa.array([c for c, _ in coded], pa.binary()), pa.array([b.tobytes() for _, b in coded], pa.binary()),
+            ], names=["part", "nil", "id", "n", "codes", "blocks"])
 
     def write(batches):
         out = None
@@ -187,8 +196,9 @@ def write_id_files(
 
     store_fs, folder = store(target)
     store_fs.create_dir(folder, recursive=True)
-    coded = coded_ids.mapInPandas(encode, "part int, nil boolean, id long, n long, codes binary, blocks binary")
-    ordered = coded.repartition(files, "part").sortWithinPartitions("part", F.desc("nil"), "id")
+    coded = coded_ids.mapInArrow(encode, "part int, nil boolean, id long, n long, codes binary, blocks binary")
+    # Every task gets one part, or the same number of them.
+    ordered = coded.repartitionById(files, F.col("part") % files).sortWithinPartitions("part", F.desc("nil"), "id")
     return materialize(ordered.mapInPandas(write, "part int, path string, n_docs long, n_ids long"), "token-files-list")
 
 
@@ -251,7 +261,11 @@ def decode_file(path: str):
 
 
 def read_id_files(listing: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of the listed files: id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit)."""
+    """One row per document of the listed files: id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit).
+
+    Null ids come back null, empty texts with the end id alone, repeated rows as often as they were written; a
+    listing without files gives no rows. A file cut short or of another format fails the job.
+    """
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
     offsets = materialize(listing.select("part", "path", F.coalesce(before, F.lit(0)).alias("before")), "token-files-list")
 

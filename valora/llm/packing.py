@@ -11,6 +11,7 @@ from valora.llm.common import materialize, text_or_empty
 from valora.llm.tokens import encoder
 
 DIMENSIONS = ("tokens", "documents", "attention")
+LEVELS = 63  # times that open bins are dealt anew; beyond, they stay as they are
 
 
 def cut_documents(
@@ -88,7 +89,7 @@ def pack_pieces(
     alone = (F.col("length") >= limit) | (F.col("length") * F.col("length") >= max_attention) | F.lit(max_documents == 1)
     placed = [rows.where(alone).withColumn("sequence_id", F.col("_row") * 64 + 63).withColumn("offset", F.lit(0).cast("long"))]
     open_rows, kept = rows.where(~alone).select("_row", "length"), []
-    for level in range(63):
+    for level in range(LEVELS):
         n = open_rows.count()
         groups = max(1, -(-n // group_rows))
 
@@ -103,7 +104,7 @@ def pack_pieces(
 
         dealt = open_rows.withColumn("g", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
         done = materialize(dealt.groupBy("g").applyInPandas(place, "_row long, length long, sequence_id long, offset long, room boolean"), "placed")
-        if groups == 1:
+        if groups == 1 or level == LEVELS - 1:
             kept.append(done)
             break
         kept.append(done.where("not room"))
