@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from valora.functions import fixed, render
 from valora.functions.numeric import half_up
-from valora.operators import retrieve, sampling
+from valora.operators import approximate, retrieve, sampling, word_index
 from valora.plans.registry import Context, query, rnd, sql_unit
+from valora.session import scratch_path
 
 _SPLIT = f"""CASE WHEN {sql_unit('listing_id', 42)} < 0.8 THEN 'train' ELSE 'test' END"""
 _BONUS = "CASE WHEN q.municipio = p.municipio THEN 1.0 ELSE 0.0 END + CASE WHEN q.colonia = p.colonia THEN 10.0 ELSE 0.0 END"
@@ -71,6 +72,18 @@ def _(c: Context) -> DataFrame:
     return bm25_hits(c, 3).select("qid", "rank", "id", half_up("score", 6).alias("score"))
 
 
+@query("l3_bm25_index", _BM25 + f" SELECT qid, CAST(rank AS INT) AS rank, id, {rnd('score', 6)} AS score FROM r WHERE rank <= 3")
+def _(c: Context) -> DataFrame:
+    """The same from a stored index: documents come in two segments, and two sets of questions are asked."""
+    path = scratch_path(c.spark, "word-index")
+    docs = c.documents.select(F.col("doc_id").alias("id"), "text")
+    for part in (docs.filter("id % 3 = 0"), docs.filter("id % 3 <> 0")):
+        word_index.add_segment(part, path)
+    q = c.benchmark.select(F.col("item_id").alias("qid"), "text")
+    found = [word_index.search(c.spark, path, some, 3).rows for some in (q.filter("qid % 2 = 0"), q.filter("qid % 2 = 1"))]
+    return found[0].unionByName(found[1]).select("qid", "rank", "id", half_up("score", 6).alias("score"))
+
+
 @query(
     "l4_cosine_topk",
     f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -85,6 +98,14 @@ def _(c: Context) -> DataFrame:
     return got.select("qid", "rank", "id", half_up("sim", 6).alias("sim"))
 
 
+@query("l4_cosine_approximate")
+def _(c: Context) -> DataFrame:
+    """Approximate: the tests measure its recall against ``l4_cosine_topk``."""
+    rows = c.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    got = approximate.approximate_cosine_topk(rows.withColumnRenamed("id", "qid"), rows, 5, exclude_self=True)
+    return got.select("qid", "rank", "id", half_up("sim", 6).alias("sim"))
+
+
 @query(
     "l5_property_text",
     """SELECT listing_id, concat_ws(' ', concat('Renta en ', colonia), colonia, municipio, recamaras || ' recamaras', CAST(m2 AS BIGINT) || ' metros') AS text FROM listing""",
