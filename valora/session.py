@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,5 +79,33 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if scopes := getattr(spark, "_valora_scopes", None):
+        scopes[-1].append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables that :func:`materialize` stores inside the block when it ends, also when it fails.
+
+    What is yielded stores a table that stays. Results that are still to be computed from deleted tables are
+    lost: write them, or store them with what is yielded, before the block ends.
+    """
+    scopes = spark.__dict__.setdefault("_valora_scopes", [])
+    mine: list[str] = []
+    scopes.append(mine)
+
+    def keep(df: DataFrame, label: str = "table") -> DataFrame:
+        out = materialize(df, label)
+        # It belongs to the block around this one, if there is any.
+        (scopes[-2] if len(scopes) > 1 else []).append(mine.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(mine)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, mine):
+            path.getFileSystem(conf).delete(path, True)
