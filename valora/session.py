@@ -98,14 +98,17 @@ def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str],
 
     def keep(df: DataFrame, label: str = "table") -> DataFrame:
         out = materialize(df, label)
+        path = scopes[-1].pop()
         # It belongs to the block around this one, if there is any.
-        (scopes[-2] if len(scopes) > 1 else []).append(mine.pop())
+        around = next(i for i, s in enumerate(scopes) if s is mine)
+        if around:
+            scopes[around - 1].append(path)
         return out
 
     try:
         yield keep
     finally:
-        scopes.remove(mine)
+        scopes.pop()
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, mine):
             path.getFileSystem(conf).delete(path, True)
