@@ -160,6 +160,26 @@ def test_radius_counts_equal_brute_force(spark, lat0, lon0):
             assert got[i][f"b_{name}"] == sum("b" in c for c in near)
 
 
+def test_dense_cells_are_split(spark):
+    rnd = random.Random(21)
+    dense = [(25.67 + rnd.gauss(0, 0.0004), -100.31 + rnd.gauss(0, 0.0004)) for _ in range(1350)]  # 90 % within some 100 m
+    around = [(25.67 + rnd.uniform(-0.006, 0.006), -100.31 + rnd.uniform(-0.006, 0.006)) for _ in range(150)]
+    rows = [(i, a, b, ["a"] if i % 3 else ["a", "b"]) for i, (a, b) in enumerate(dense + around)]
+    df = spark.createDataFrame(rows, "id INT, lat DOUBLE, lon DOUBLE, cats ARRAY<STRING>")
+    radii = [0.1, 0.5]
+    got = {r.id: r for r in geo.radius_counts(df, df, "id", radii, ["a", "b"], leaf=64).collect()}
+    lat, lon = np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows])
+    has_b = np.array([len(r[3]) == 2 for r in rows])
+    for i in range(0, 1500, 7):
+        h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
+        d = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+        want = [int(((d <= r) & m).sum()) for m in (np.ones(1500, bool), has_b) for r in radii]
+        assert [got[i].a_100m, got[i].a_500m, got[i].b_100m, got[i].b_500m] == want
+    compared, unsplit = (geo.pairs_compared(df, df, radii, ["a"], leaf=n) for n in (64, 10_000))
+    assert compared < 0.4 * unsplit
+
+
+
 def test_row_numbers_with_more_bins_than_rows_of_a_bin(spark, rows):
     order = [F.col("k").asc_nulls_first(), F.col("id")]
     for bins in (2, 37, 700):
