@@ -59,9 +59,11 @@ def nested_subsets(df: DataFrame, key: str, sizes: Sequence[int], seed: int) ->
 
 # ---- bootstrap ----------------------------------------------------------------------------
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # the step of the counter
-RESAMPLES, ROWS = 1024, 256  # weights drawn at a time
+RESAMPLES, ROWS = 512, 128  # weights drawn at a time
+UNSURE = 255
 
 
+@cache
 def poisson_cuts() -> np.ndarray:
     """Ends of the Poisson(1) distribution function on 64-bit integers; a draw's weight is the number of ends up to it."""
     total, term, cuts = Decimal(0), Decimal(-1).exp(), []
@@ -74,24 +76,24 @@ def poisson_cuts() -> np.ndarray:
 def poisson_weights(seeds: np.ndarray, first: int, last: int) -> np.ndarray:
     """Weights of the rows with these 64-bit seeds in the resamples from ``first`` up to ``last``: the bits of
     draw b of a row are its seed plus (b + 1) steps, mixed."""
-    counter = np.arange(first + 1, last + 1, dtype=np.uint64) * GOLDEN
-    x = seeds.astype(np.uint64)[:, None] + counter
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    cuts, (table, unsure) = poisson_cuts(), _by_high_bits()
-    high = (x >> np.uint64(48)).astype(np.intp)
-    weights, again = table[high], unsure[high]
-    weights[again] = np.searchsorted(cuts, x[again], side="right")
+    x = seeds.astype(np.uint64)[:, None] + np.arange(first + 1, last + 1, dtype=np.uint64) * GOLDEN
+    shifted = np.empty_like(x)
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(bits), out=shifted)
+        np.bitwise_xor(x, shifted, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    weights = _by_high_bits()[np.right_shift(x, np.uint64(48), out=shifted).astype(np.uint16)]
+    unsure = np.nonzero(weights == UNSURE)
+    weights[unsure] = np.searchsorted(poisson_cuts(), x[unsure], side="right")
     return weights
 
 
 @cache
-def _by_high_bits() -> tuple[np.ndarray, np.ndarray]:
-    """Weight by the upper 16 bits, and where the others decide."""
+def _by_high_bits() -> np.ndarray:
+    """Weight by the upper 16 bits; ``UNSURE`` where the others decide."""
     low = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
     least, most = (np.searchsorted(poisson_cuts(), x, side="right") for x in (low, low | np.uint64((1 << 48) - 1)))
-    return least.astype(np.uint8), least != most
+    return np.where(least == most, least, UNSURE).astype(np.uint8)
 
 
 def resampled_sums(df: DataFrame, key: str, values: dict[str, Column], b: int, seed: int) -> DataFrame:

@@ -147,7 +147,11 @@ def _(c: Context) -> DataFrame:
     return models.principal_components(rows, _CLUSTER).select("listing_id", half_up("pc1", 6).alias("pc1"), half_up("pc2", 6).alias("pc2"))
 
 
-@query("a18_model_round_trip")
+@query(
+    "a18_model_round_trip",
+    "SELECT count(*) AS n, 0.0::DOUBLE AS max_diff FROM listing WHERE price BETWEEN 4500 AND (SELECT quantile_cont(price, 0.99) FROM listing)",
+    "listing",
+)
 def _(c: Context) -> DataFrame:
     rows = prepared(c, "train")
     model = models.fit(rows, FEATURES, models.linear(), "log1p", train=F.col("split") == "train")
