@@ -106,3 +106,15 @@ def test_pipeline_stage_saves_and_loads(spark, tmp_path):
     assert one == two
     assert len(set(one)) > 4
     assert {r["feature"] for r in models.importances(back, spark).collect()} == {"a", "b", "c"}
+
+
+def test_finished_seeds_are_not_fitted_again(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, 5000.0 + 90 * m + rng.gauss(0, 300), float(m), rng.choice("abc"), rng.choice("xy")) for i, m in enumerate(rng.choices(range(40, 200), k=150))]
+    df = spark.createDataFrame(rows, "id long, price double, m2 double, colonia string, municipio string")
+    asked = []
+    make = lambda seed: asked.append(seed) or models.linear()
+    run = lambda seeds: {r["seed"]: r for r in models.multi_seed(df, seeds, "id", "price", make, ["m2", "colonia_enc"], str(tmp_path)).collect()}
+    one = run([3])
+    two = run([3, 5])
+    assert asked == [3, 5] and two[3] == one[3] and set(two) == {3, 5}

@@ -228,21 +228,25 @@ def params_to_features(df: DataFrame, colonia_enc: DataFrame, prefix: str = "q_"
 
 
 def multi_seed(df: DataFrame, seeds: Sequence[int], key: str, price: str, make: Callable[[int], Estimator], features: Sequence[str],
-               done: DataFrame | None = None) -> DataFrame:
-    """Re-learn split, transform, encoders and model for each seed that has no metrics yet."""
-    finished = set() if done is None else {r["seed"] for r in done.select("seed").distinct().limit(len(seeds) + 1).collect()}
-    out = None
+               store: str) -> DataFrame:
+    """Accuracy of each seed, for which split, transform, encoders and model are learned anew.
+
+    A seed's row is written to the shared folder ``store`` when it is done; seeds found there are not fitted again.
+    """
+    spark = df.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for seed in seeds:
-        if seed in finished:
+        mark = path(f"{store}/{seed}/_SUCCESS")
+        if mark.getFileSystem(conf).exists(mark):
             continue
         split = df.withColumn("split", sampling.split3(key, seed))
-        lam = encode.fit_boxcox(split.filter("split = 'train'"), price, rounds=3)
+        lam = encode.fit_boxcox(split.filter("split = 'train'"), price)
         rows = prepare(split, key, price, "boxcox", lam, seed=seed, mode="train", train=F.col("split") == "train")
         model = fit(rows, features, make(seed), "boxcox", lam, F.col("split") == "train")
         scored = model.score(rows.filter("split = 'test'")).withColumn("err", evaluate.error_pct("estimate", price))
-        m = evaluate.accuracy(scored.withColumn("seed", F.lit(seed)), ["seed"]).withColumn("lam", F.lit(lam))
-        out = m if out is None else out.unionByName(m)
-    return out
+        got = evaluate.accuracy(scored.withColumn("seed", F.lit(seed)), ["seed"]).withColumn("lam", F.lit(lam))
+        got.coalesce(1).write.mode("overwrite").parquet(f"{store}/{seed}")
+    return spark.read.parquet(*[f"{store}/{seed}" for seed in seeds])
 
 
 def cluster(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42) -> tuple[DataFrame, float]:

@@ -1,8 +1,9 @@
 """Queries that fit models. Tree ensembles differ between engines, so these have no SQL twin; the
-unit tests check their properties. The registered runs use fewer trees than the library defaults."""
+unit tests compare the boosted trees with brute force. The registered runs use fewer trees than the library defaults."""
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from valora.plans.registry import Context, query, rnd
 from valora.session import scratch_path
 
 TREES = 10
+REPEATED = 5  # trees where two to five models are fitted
+# --- fixed values: the seeds of the repeated fits ---
+SEEDS = [42, 7, 123, 2024, 31415]
 FEATURES = [*models.NUMERIC, *models.FLAGS, "colonia_enc", "municipio_enc"]
 
 
@@ -26,6 +30,10 @@ def prepared(c: Context, mode: str = "oof", transform: str = "log1p", lam: float
     return models.prepare(rows, "listing_id", "price", transform, lam, mode=mode, train=F.col("split") == "train")
 
 
+def boosted(seed: int = 42, trees: int = REPEATED) -> Estimator:
+    return models.gradient_boosting(trees, seed=seed, key="listing_id")
+
+
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, *[half_up(c, 4).alias(c) for c in df.columns if c in ("mae", "rmse", "r2")], *[c for c in df.columns if c == "n"])
 
@@ -65,7 +73,7 @@ def _(c: Context) -> DataFrame:
 
 @query("k15_cross_validation")
 def _(c: Context) -> DataFrame:
-    folds = models.cross_validate(prepared(c), FEATURES, models.linear, 5, transform="log1p")
+    folds = models.cross_validate(prepared(c), FEATURES, boosted, 5, transform="log1p")
     got = models.cv_summary(folds)
     return got.select(*[half_up(x, 4).alias(x) for x in ("r2_mean", "r2_sd", "mae_mean", "mae_sd")], "folds")
 
@@ -75,7 +83,7 @@ def _(c: Context) -> DataFrame:
     makers = {
         "linear": models.linear,
         "forest": lambda: models.random_forest(TREES, 6),
-        "boosting": lambda: models.gradient_boosting(TREES),
+        "boosting": lambda: boosted(trees=TREES),
     }
     return rounded(models.compare_models(prepared(c, "train"), FEATURES, makers, transform="log1p"), "model")
 
@@ -83,14 +91,14 @@ def _(c: Context) -> DataFrame:
 @query("k18_feature_ablation")
 def _(c: Context) -> DataFrame:
     sets = {"with": FEATURES, "without": [f for f in FEATURES if f not in ("views", "lujo")]}
-    return rounded(models.ablate(prepared(c), sets, models.linear, transform="log1p"), "features")
+    return rounded(models.ablate(prepared(c), sets, boosted, transform="log1p"), "features")
 
 
 @query("k19_encoding_leakage")
 def _(c: Context) -> DataFrame:
     out = None
     for mode in ("all", "train"):
-        m = models.compare_models(prepared(c, mode), FEATURES, {mode: models.linear}, transform="log1p")
+        m = models.compare_models(prepared(c, mode), FEATURES, {mode: boosted}, transform="log1p")
         out = m if out is None else out.unionByName(m)
     return rounded(out, "model")
 
@@ -98,16 +106,15 @@ def _(c: Context) -> DataFrame:
 @query("k20_target_transforms")
 def _(c: Context) -> DataFrame:
     out = None
-    for name, lam in (("log1p", 0.0), ("boxcox", encode.fit_boxcox(window(c).select("price"), "price", rounds=3))):
-        m = models.compare_models(prepared(c, "train", name, lam), FEATURES, {name: models.linear}, transform=name, lam=lam)
+    for name, lam in (("log1p", 0.0), ("boxcox", encode.fit_boxcox(window(c).select("price"), "price"))):
+        m = models.compare_models(prepared(c, "train", name, lam), FEATURES, {name: boosted}, transform=name, lam=lam)
         out = m if out is None else out.unionByName(m)
     return rounded(out, "model")
 
 
 @query("k21_multi_seed")
 def _(c: Context) -> DataFrame:
-    done = c.spark.createDataFrame([(1,)], "seed INT")
-    got = models.multi_seed(window(c), [1, 2, 3], "listing_id", "price", lambda seed: models.linear(), FEATURES, done)
+    got = models.multi_seed(window(c), SEEDS, "listing_id", "price", boosted, FEATURES, scratch_path(c.spark, "seeds"))
     return got.select("seed", *[half_up(x, 4).alias(x) for x in ("mae_pct", "acc_15", "acc_20", "lam")], "n")
 
 
@@ -121,7 +128,7 @@ def _(c: Context) -> DataFrame:
 
 @query("k23_importances")
 def _(c: Context) -> DataFrame:
-    model = models.fit(prepared(c), FEATURES, models.gradient_boosting(TREES), "log1p", train=F.col("split") == "train")
+    model = models.fit(prepared(c), FEATURES, boosted(trees=TREES), "log1p", train=F.col("split") == "train")
     return models.importances(model, c.spark)
 
 
