@@ -114,3 +114,27 @@ def test_template_spans_and_odd_texts(spark):
     assert words_of("A-b\x00c é") == [b"a", b"b", b"c", "é".encode()]
     s = LicenceScanner({"x": ["a b c d e f g h"]}, {}, 3, 2, 0.5)
     assert s.spans([b"a", b"b", b"c", b"q", b"d", b"e", b"f"]) == [(0, 0, 6, 0.75)]
+
+
+def test_phrases_by_automaton_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        phrases = {" ".join("abc"[x] for x in rng.integers(0, 3, rng.integers(1, 5))): f"l{i % 3}" for i in range(6)}
+        words = [b"abcd"[x:x + 1] for x in rng.integers(0, 4, 40)]
+        s = LicenceScanner({}, phrases, 5, 12, 0.6)
+        want = sorted((i, label) for p, label in phrases.items() for i in range(40) if words[i:i + len(p.split())] == p.encode().split())
+        assert s.phrases(words) == want
+    assert LicenceScanner({}, {"": "x", "a b": "y", "a  B": "z"}, 5, 12, 0.6).phrases([b"a", b"b"]) == [(0, "y"), (0, "z")]
+
+
+def test_each_notice_has_its_own_label_only():
+    s = LicenceScanner(TEMPLATES, BASE, 5, 12, 0.6)
+    for label, texts in TEMPLATES.items():
+        for text in texts:
+            found = s.scan(f"Some words before. {text} Others follow it.")
+            assert {h["label"] for h in found["spans"]} == {label} and found["score"] == 1, (label, found)
+    both = s.scan(" and then many other words follow here in between the two of them as usual ".join([TEMPLATES["gpl-2"][0], TEMPLATES["lgpl-2.1"][0]]))
+    assert [h["label"] for h in sorted(both["spans"], key=lambda h: h["first"])] == ["gpl-2", "lgpl-2.1"]
+    # Equally well covered labels both stay.
+    t = LicenceScanner({"x": ["a b c d e f"], "y": ["a b c d e g"]}, {}, 5, 12, 0.6)
+    assert t.scan("a b c d e")["labels"] == "x,y" and t.scan("a b c d e g")["labels"] == "y"

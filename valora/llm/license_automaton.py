@@ -3,11 +3,14 @@
 The automaton accepts every run of words of every template. A text is streamed through it word by word: the state
 reached tells the longest run that ends at this word and occurs in a template (the matching statistic). Long
 maximal runs of one template, in template order and close to each other, are chained into a span; a span that
-covers enough of its template gives the template's label.
+covers enough of its template gives the template's label, unless the same words cover another template better.
+Phrases are told at every place by an automaton of their own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +41,24 @@ TEMPLATES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "lgpl-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "gpl-2": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "gpl-3": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
@@ -49,6 +70,7 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0",
     ],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
 }
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -126,6 +148,23 @@ class SuffixAutomaton:
             out.append((len(words) - n, n, state))
         return out
 
+    def longest(self, words: list[bytes]):
+        """(place of the word, length, state) of the longest run that ends at each word that ends one."""
+        state, n, first = 0, 0, self.next[0]
+        for at, word in enumerate(words):
+            if not state and word not in first:
+                continue
+            nxt = self.next[state].get(word)
+            while state and nxt is None:
+                state = self.link[state]
+                n = self.length[state]
+                nxt = self.next[state].get(word)
+            if nxt is None:
+                state = n = 0
+            else:
+                state, n = nxt, n + 1
+                yield at, n, state
+
 
 class LicenceScanner:
     def __init__(self, templates: dict[str, list[str]], base: dict[str, str], least_run: int, gap: int, coverage: float):
@@ -137,8 +176,9 @@ class LicenceScanner:
                 self.sequences.append(words_of(t))
         self.automaton = SuffixAutomaton(self.sequences)
         self.ends: list[list[tuple[int, int]]] = self._occurrences()
-        self.base = [(words_of(p), label) for p, label in base.items()]
-        self.starts = {p[0] for p, _ in self.base}
+        phrases = [(words_of(p), label) for p, label in base.items()]
+        self.base = SuffixAutomaton([p for p, _ in phrases])
+        self.told = self._phrases_of_states(phrases)
 
     def _occurrences(self):
         """For each state every (sequence, end) of its runs, by the tree of suffix links."""
@@ -154,17 +194,23 @@ class LicenceScanner:
                 ends[a.link[s]] |= ends[s]
         return [sorted(e) for e in ends]
 
+    def _phrases_of_states(self, phrases):
+        """For each state of the base automaton (length, label) of every phrase that the longest of its runs ends with."""
+        a = self.base
+        told: list[list[tuple[int, str]]] = [[] for _ in a.next]
+        for words, label in phrases:
+            state = 0
+            for word in words:
+                state = a.next[state][word]
+            if state:
+                told[state].append((len(words), label))
+        for s in sorted(range(1, len(a.next)), key=lambda s: a.length[s]):
+            told[s] = told[s] + told[a.link[s]]
+        return told
+
     def phrases(self, words: list[bytes]) -> list[tuple[int, str]]:
-        found = []
-        for first in self.starts:
-            at = -1
-            try:
-                while True:
-                    at = words.index(first, at + 1)
-                    found += [(at, label) for phrase, label in self.base if words[at:at + len(phrase)] == phrase]
-            except ValueError:
-                pass
-        return sorted(found)
+        """(first word, label) of every place of every phrase."""
+        return sorted((at - size + 1, label) for at, n, state in self.base.longest(words) for size, label in self.told[state] if size <= n)
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, share of the template covered) of every chained span."""
@@ -189,10 +235,26 @@ class LicenceScanner:
                 out.append((k, open_chain[0], open_chain[1], min(1.0, open_chain[3] / size)))
         return out
 
+    def hits(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Spans that cover enough of their template, without those half inside a span of another label that covers more of its own.
+
+        Notices of related licences differ in a few words, so that one covers most of the other.
+        """
+        enough = sorted((s for s in spans if s[3] >= self.coverage), key=lambda s: (s[1], s[0]))
+        reach = max((j - i + 1 for _, i, j, _ in enough), default=0)
+        firsts = [s[1] for s in enough]
+
+        def beaten(k, i, j, c):
+            near = enough[bisect_left(firsts, i - reach):bisect_right(firsts, j)]
+            return any(better > c and self.labels[other] != self.labels[k] and 2 * (min(j, last) - max(i, first) + 1) >= j - i + 1
+                       for other, first, last, better in near)
+
+        return sorted(s for s in enough if not beaten(*s))
+
     def scan(self, text: str) -> dict:
         words = words_of(text)
         base, spans = self.phrases(words), self.spans(words)
-        hits = [s for s in spans if s[3] >= self.coverage]
+        hits = self.hits(spans)
         base_labels = {label for _, label in base}
         return {
             "n_words": len(words), "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
@@ -215,7 +277,7 @@ def scan_licences(
     """One row per input row: id, word counts, phrase places, labels, score and the spans found.
 
     ``base`` phrases are found at every place. A chained span with at least ``coverage`` of a template's words adds
-    the template's label. ``score`` is the largest share of a template covered, 1 where a phrase is found. A null
+    the template's label, where no template of another label is covered better by the same words. ``score`` is the largest share of a template covered, 1 where a phrase is found. A null
     or empty text has no words: counts 0, places null, labels empty, score 0. Null ids, repeated rows and other
     columns change nothing. Work is per row; the automaton depends on the templates only.
     """
