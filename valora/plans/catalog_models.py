@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from valora.functions.numeric import half_up
 from valora.operators import encode, models, sampling, segment, select
+from valora.operators.gram import linear_folds
 from valora.plans import jobs
-from valora.plans.registry import Context, query, rnd
+from valora.plans.registry import Context, query, rnd, sql_unit
 from valora.session import scratch_path
 
 TREES = 10
@@ -78,6 +79,33 @@ def _(c: Context) -> DataFrame:
     return got.select(*[half_up(x, 4).alias(x) for x in ("r2_mean", "r2_sd", "mae_mean", "mae_sd")], "folds")
 
 
+_POINTS = (
+    f"(SELECT m2::DOUBLE AS x1, recamaras::DOUBLE AS x2, ln(1 + price) AS y, floor({sql_unit('listing_id', 42)} * 5)::INT AS fold "
+    "FROM listing WHERE m2 IS NOT NULL AND recamaras IS NOT NULL AND price IS NOT NULL)"
+)
+
+
+@query(
+    "k15_linear_folds",
+    f"""SELECT m.fold, features, alpha, count(*) AS n, {rnd("1 - sum((y - a0 - b1 * x1 - b2 * x2) ** 2) / (var_pop(y) * count(*))")} AS r2,
+        {rnd("sqrt(avg((y - a0 - b1 * x1 - b2 * x2) ** 2))")} AS rmse
+    FROM (SELECT *, y0 - b1 * m1 - b2 * m2 AS a0 FROM (
+            SELECT *, CASE features WHEN 'area' THEN c1y / (c11 + alpha) ELSE (c1y * (c22 + alpha) - c2y * c12) / ((c11 + alpha) * (c22 + alpha) - c12 * c12) END AS b1,
+                CASE features WHEN 'area' THEN 0.0 ELSE (c2y * (c11 + alpha) - c1y * c12) / ((c11 + alpha) * (c22 + alpha) - c12 * c12) END AS b2
+            FROM (SELECT k.fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS y0, var_pop(x1) * count(*) AS c11, var_pop(x2) * count(*) AS c22,
+                    covar_pop(x1, x2) * count(*) AS c12, covar_pop(x1, y) * count(*) AS c1y, covar_pop(x2, y) * count(*) AS c2y
+                FROM (SELECT DISTINCT fold FROM {_POINTS}) k JOIN {_POINTS} p ON p.fold <> k.fold GROUP BY k.fold)
+            CROSS JOIN (SELECT unnest(['area', 'area_rooms']) AS features) CROSS JOIN (SELECT unnest([0.0, 100.0])::DOUBLE AS alpha))) m
+    JOIN {_POINTS} p ON p.fold = m.fold GROUP BY m.fold, features, alpha""",
+    "listing",
+)
+def _(c: Context) -> DataFrame:
+    rows = c.stored("listing", "listing_id", "price", "m2", "recamaras").withColumn("label", F.log1p("price"))
+    rows = rows.withColumn("fold", sampling.kfold("listing_id", 5, 42))
+    got = linear_folds(rows, {"area": ["m2"], "area_rooms": ["m2", "recamaras"]}, "label", alphas=(0.0, 100.0))
+    return got.select("fold", "features", "alpha", "n", half_up("r2", 4).alias("r2"), half_up("rmse", 4).alias("rmse"))
+
+
 @query("k16_compare_models")
 def _(c: Context) -> DataFrame:
     makers = {
