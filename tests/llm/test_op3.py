@@ -54,3 +54,27 @@ def test_fit_and_measures():
     assert np.mean((bias + x @ w > 0) == y) > 0.98
     for t in ("", " ", "a", "!!!", "é" * 10, "x\n" * 5000):
         assert len(measures(t)) == N_MEASURES and np.isfinite(measures(t)).all()
+
+
+def test_posteriors_against_plain_numpy(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = score_documents(docs, labels).toPandas()
+    good = 1 / (1 + np.exp(-got["_evidence"].to_numpy()))
+    overall = good.mean()
+
+    def strength(groups):  # (size, mean, parent)
+        n, mean, parent = (np.array(x, dtype=float) for x in zip(*[g for g in groups if g[0] > 1]))
+        between = (n * ((mean - parent) ** 2 - parent * (1 - parent) / n)).sum()
+        return 1e6 if between <= 0 else min(1e6, max(1.0, (n * parent * (1 - parent)).sum() / between - 1))
+
+    hosts = {h: good[at] for h, at in got.groupby("source", dropna=False).indices.items()}
+    k = strength([(len(x), x.mean(), overall) for x in hosts.values()])
+    host = {h: (x.sum() + k * overall) / (len(x) + k) for h, x in hosts.items()}
+    paths = {key: good[at] for key, at in got.groupby(["source", "lang"], dropna=False).indices.items()}
+    k = strength([(len(x), x.mean(), host[key[0]]) for key, x in paths.items()])
+    for r, g in zip(got.to_dict("records"), good):
+        x, h = paths[r["source"], r["lang"]], host[r["source"]]
+        assert abs(r["_host"] - h) < 1e-9 and abs(r["_path"] - (x.sum() + k * h) / (len(x) + k)) < 1e-9
+        others = min(1 - 1e-6, max(1e-6, (max(x.sum() - g, 0) + k * h) / (len(x) - 1 + k)))
+        odds = r["_evidence"] + np.log(others / (1 - others)) - np.log(overall / (1 - overall))
+        assert abs(r["_score"] - 1 / (1 + np.exp(-odds))) < 1e-9 and r["_keep"] == (r["_score"] >= 0.5)
