@@ -135,6 +135,10 @@ def test_each_notice_has_its_own_label_only():
             assert {h["label"] for h in found["spans"]} == {label} and found["score"] == 1, (label, found)
     both = s.scan(" and then many other words follow here in between the two of them as usual ".join([TEMPLATES["gpl-2"][0], TEMPLATES["lgpl-2.1"][0]]))
     assert [h["label"] for h in sorted(both["spans"], key=lambda h: h["first"])] == ["gpl-2", "lgpl-2.1"]
+    # The same words cover two labels: the better covered one stays, also where a word between the runs differs.
+    r = LicenceScanner({"x": ["a b c d e f g h i j"], "y": ["a b c d e q q f g h i j"]}, {}, 5, 12, 0.6)
+    edited = r.scan("a b c d e z f g h i j")
+    assert len(r.spans(words_of("a b c d e z f g h i j"))) == 2 and edited["labels"] == "x"
     # Equally well covered labels both stay.
     t = LicenceScanner({"x": ["a b c d e f"], "y": ["a b c d e g"]}, {}, 5, 12, 0.6)
     assert t.scan("a b c d e")["labels"] == "x,y" and t.scan("a b c d e g")["labels"] == "y"
