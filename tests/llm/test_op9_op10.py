@@ -142,3 +142,9 @@ def test_each_notice_has_its_own_label_only():
     # Equally well covered labels both stay.
     t = LicenceScanner({"x": ["a b c d e f"], "y": ["a b c d e g"]}, {}, 5, 12, 0.6)
     assert t.scan("a b c d e")["labels"] == "x,y" and t.scan("a b c d e g")["labels"] == "y"
+
+
+def test_base_phrases_are_those_of_the_contract(spark):
+    rows = [(1, "Released under the MIT License."), (2, "See the MIT License."), (3, "Under\tthe mit-license, the mit license; under the mit license")]
+    got = {r.doc_id: r for r in scan_licences(frame(spark, rows)).collect()}
+    assert [base_of(got[i]) for i in (1, 2, 3)] == [(5, 1, 1, 1, "mit"), (4, 0, None, None, ""), (11, 2, 0, 7, "mit")]

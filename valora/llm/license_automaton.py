@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from valora.llm.common import text_or_empty
 
 # The phrases and labels of the contract.
-BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Sentences of well-known licences and their usual notices, by label.
 TEMPLATES = {
