@@ -134,3 +134,10 @@ def test_poi_categories_overlap(spark):
 
 def test_floor(spark):
     assert values(spark, parse.extract_floor("t"), "Piso 7", "en nivel 3", "5o piso", "planta baja") == [7, 3, 5, None]
+
+
+def test_half_a_peso_goes_up_in_reasons(spark):
+    df = spark.createDataFrame([("cerca del campus universitario", 12744.5, None, "casa"), ("elevador", 20000.5, 3, "casa")], "t STRING, price DOUBLE, rooms INT, kind STRING")
+    flags = rules.segment_flags("t", "price", "rooms", "kind")
+    got = df.select("*", *[c.alias(n) for n, c in flags.items()]).coalesce(1).select(rules.segment_reason("price", "rooms")).collect()
+    assert [r[0] for r in got] == ["precio $12,745 | keyword universitario", "accesibilidad | precio $20,001"]

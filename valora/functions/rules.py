@@ -145,7 +145,8 @@ def segment_from_flags() -> Column:
 
 def segment_reason(price: str, rooms: str) -> Column:
     """The rules that fired, joined by ' | '; expects the columns of :func:`segment_flags`."""
-    money = F.concat(F.lit("precio $"), F.format_number(col(price), 0))
+    # Halves go up; format_number alone takes them to the even neighbour.
+    money = F.concat(F.lit("precio $"), F.format_number(F.floor(col(price) + 0.5), 0))
     # An unknown number of rooms passes the filter as 0 but is not itself a reason.
     few_rooms = col(rooms).isin(0, 1, 2)
     student = F.concat_ws(
