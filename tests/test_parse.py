@@ -141,3 +141,11 @@ def test_half_a_peso_goes_up_in_reasons(spark):
     flags = rules.segment_flags("t", "price", "rooms", "kind")
     got = df.select("*", *[c.alias(n) for n, c in flags.items()]).coalesce(1).select(rules.segment_reason("price", "rooms")).collect()
     assert [r[0] for r in got] == ["precio $12,745 | keyword universitario", "accesibilidad | precio $20,001"]
+
+
+def test_half_a_peso_goes_up_in_comparables(spark):
+    df = spark.createDataFrame([(1, 1000.5), (2, 12744.5), (3, 12745.5), (4, 999.4999)], "r INT, price DOUBLE")
+    for n in ("m2", "recamaras", "amueblado", "lujo"):
+        df = df.withColumn(n, F.lit(None).cast("int"))
+    got = df.withColumn("colonia", F.lit("Roma")).orderBy("r").select(render.comparable_line(F.col("r"), F.col("price"))).collect()
+    assert [r[0].split(" → ")[1] for r in got] == ["$1,001 MXN/mes", "$12,745 MXN/mes", "$12,746 MXN/mes", "$999 MXN/mes"]

@@ -198,7 +198,7 @@ def render_prompt(system: str | Column, user: str | Column, family: str | Column
 
 
 def comparable_line(rank: Column, price: Column) -> Column:
-    """``n. zone — attributes → $price MXN/mes`` from columns m2, recamaras, amueblado, lujo, colonia."""
+    """``n. zone — attributes → $price MXN/mes`` from columns m2, recamaras, amueblado, lujo, colonia; half a peso goes up."""
     attrs = F.concat_ws(
         ", ",
         F.when(F.col("m2") > 1, F.concat(F.floor(F.col("m2")).cast("string"), F.lit("m²"))),
@@ -209,7 +209,7 @@ def comparable_line(rank: Column, price: Column) -> Column:
     return F.concat(
         F.lit("  "), rank.cast("string"), F.lit(". "), F.coalesce(F.col("colonia"), F.lit("?")), F.lit(" — "),
         F.when(attrs != "", attrs).otherwise("sin datos"),
-        F.lit(" → $"), F.format_number(price, 0), F.lit(" MXN/mes"),
+        F.lit(" → $"), F.format_number(F.round(price), 0), F.lit(" MXN/mes"),
     )
 
 
