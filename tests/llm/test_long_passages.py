@@ -81,3 +81,14 @@ def test_registered_query_takes_long_passages(spark, tmp_path):
     one = " ".join(f"w{i}" for i in range(57)) + ". "
     spark.createDataFrame([(1, one), (2, "Own. " + one)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_removed for r in QUERIES["op9_sentence_span_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_registered_query_and_pipeline_take_runs_of_three_sentences(spark, tmp_path):
+    from corpus_pipeline import strip_passages
+
+    run = "Rent is paid on the first. Pets are not allowed here. Keys stay with the owner. "
+    rows = [(1, "A start. " + run + "An end."), (2, "Another one begins. " + run + "It stops."), (3, "Rent is paid on the first. Pets are not allowed here.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in QUERIES["op9_sentence_span_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 3, 3: 0}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in strip_passages(spark, docs, "").collect()} == {1: rows[0][1], 2: "Another one begins. It stops.", 3: rows[2][1]}

@@ -70,7 +70,7 @@ def op7_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_passages(table(spark, sf_dir, "documents"), size=None, long_words=44)
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents"), long_words=44)
     return kept.select("doc_id", "n_removed", F.length(text_or_empty()).cast("long").alias("n_chars"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
 
 
