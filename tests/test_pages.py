@@ -101,3 +101,17 @@ def test_single_quoted_pages_through_every_entry(spark):
     assert (got.price, got.description) == (8000.0, "Bonita casa")
     links = pages.harvest_links(one(spark, "<a href='/casa-1'>x</a><a href=\"/casa-2\">y</a>"), "https://x.org", 10).collect()
     assert [r.link for r in links] == ["https://x.org/casa-1", "https://x.org/casa-2"]
+
+
+def test_texts_of_a_card_are_found_once(spark):
+    """The filter on the price stays above the function that finds the texts, and no fold over tags is interpreted."""
+    for rows in (pages.parse_card(pages.extract_cards(one(spark, CARD)), "https://x.org"),
+                 pages.parse_detail(spark.createDataFrame([(1, CARD, "u")], "page_id INT, html STRING, url STRING"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("texts(") == 1 and "aggregate(" not in plan
+
+
+def test_end_of_an_element():
+    html = "<div>a<DIV/>b<div>c</div><br>d</Div>e</div>"
+    assert pages.balanced(html, 5, "div") == "a<DIV/>b<div>c</div><br>d"
+    assert pages.balanced("a</p>b", 0, "div") == "a</p>b"

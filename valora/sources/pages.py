@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from html.parser import HTMLParser
+from itertools import pairwise
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ CARD_STARTS = [
     r'<article[^>]*class="[^"]*(?:posting|property|listing|inmueble)',
     r'<section[^>]*data-qa="[^"]*posting',
 ]
+_CARD_KINDS = [re.compile(start, re.ASCII | re.IGNORECASE) for start in CARD_STARTS]
 VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"  # elements without content
 JSONLD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 STATE_SCRIPT = r"(?s)__NEXT_DATA__\s*=\s*(\{.*?\});"
@@ -45,43 +50,49 @@ def strip_tags(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+_TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)([^<>]*+(?:<(?!/?[A-Za-z])[^<>]*+)*+>)?", re.ASCII)
+_FLAGS = re.ASCII | re.IGNORECASE | re.DOTALL  # as (?is) in Java
 
 
-def balanced(rest: Column, name: Column) -> Column:
-    """``rest`` up to the tag that closes an element ``name`` opened before it; all of it where none does.
+def balanced(html: str, start: int, name: str) -> str:
+    """``html`` from ``start`` up to the tag that closes an element ``name`` opened before it; all of it where none does.
 
-    The text is cut in front of every tag; a running depth goes up at each start tag of that name and down
-    at each end tag, and the element ends where it comes back to nought.
+    A running depth goes up at each start tag of that name and down at each end tag; elements closed in
+    their own tag leave it.
     """
-    def follow(state: Column, piece: Column) -> Column:
-        mine = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][\w-]*)", 1)) == name
-        step = F.when(~mine | piece.rlike(r"^<[^>]*/>"), 0).when(piece.startswith("</"), -1).otherwise(1)
-        return _let(state["depth"] + step, lambda depth: F.struct(
-            depth.alias("depth"), (state["at"] + 1).alias("at"),
-            F.when((state["end"] < 0) & (depth == 0), state["at"]).otherwise(state["end"]).alias("end")))
+    depth = 1
+    for tag in _TAG.finditer(html, start):
+        if tag[2].lower() == name and not (tag[3] or "").endswith("/>"):
+            depth += -1 if tag[1] else 1
+            if not depth:
+                return html[start:tag.start()]
+    return html[start:]
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
-    return _let(F.split(rest, r"(?=</?[A-Za-z])"), lambda pieces: _let(
-        F.aggregate(pieces, start, follow, lambda s: s["end"]),
-        lambda end: F.when(end < 0, rest).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest(end, F.lit(0))), ""))))
 
+def _plain(text: str) -> str:
+    """:func:`strip_tags` of one string."""
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", text), flags=re.ASCII).strip(" ")
 
-def _behind(html: Column, tag: Column) -> Column:
-    return F.substr(html, F.position(tag, html) + F.length(tag))
 
+def inner_texts(c: str | Column, **starts: Sequence[str]) -> Column:
+    """A struct of texts: for each name that of the first element whose start tag matches, up to the tag that closes
+    it, of the first pattern that finds any text; elements without content are passed over.
 
-def _name_of(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([A-Za-z][\w-]*)", 1))
+    The column is computed once: a filter on it is not moved below it (its function is marked nondeterministic for this).
+    """
+    tries = {n: [re.compile(rf"<(?!(?:{VOID})\b)([a-z][\w-]*)[^>]*{p}[^>]*>", _FLAGS) for p in ps] for n, ps in starts.items()}
+
+    def first_text(html: str | None, patterns: list[re.Pattern]) -> str | None:
+        for pattern in patterns if html else ():
+            if (tag := pattern.search(html)) and (text := _plain(balanced(html, tag.end(), tag[1].lower()))):
+                return text
+        return None
 
+    @F.pandas_udf(", ".join(f"{n} STRING" for n in tries))
+    def texts(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({n: [first_text(h, ps) for h in html] for n, ps in tries.items()}, dtype=object)
 
-def inner_text(c: str | Column, start: str) -> Column:
-    """Text of the first element whose start tag matches, up to the tag that closes it; elements without content are passed over."""
-    tag = capture(c, rf"(?is)(<(?!(?:{VOID})\b)[a-z][\w-]*[^>]*{start}[^>]*>)")
-    text = _let(tag, lambda t: F.when(t.isNotNull(), balanced(_behind(col(c), t), _name_of(t))))
-    return F.nullif(strip_tags(text), F.lit(""))
+    return texts.asNondeterministic()(col(c))
 
 
 def double_quoted(html: str | Column) -> Column:
@@ -89,22 +100,34 @@ def double_quoted(html: str | Column) -> Column:
     return F.regexp_replace(col(html), r"(?<=[\w-])\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '="$1"')
 
 
-def _element(piece: Column) -> Column:
+def _cards(html: str | None) -> list[str] | None:
+    """The card elements of a page, without their end tags, of the first kind that occurs."""
+    for kind in _CARD_KINDS if html else ():
+        starts, at = [], 0
+        while found := kind.search(html, at):
+            starts.append(found.start())
+            at = found.start() + 1
+        if starts:
+            return [_element(html[lo:hi]) for lo, hi in pairwise([*starts, len(html)])]
+    return None
+
+
+def _element(piece: str) -> str:
     """The element that ``piece`` begins with, without its end tag."""
-    return _let(F.regexp_extract(piece, r"^<[^>]*>", 0), lambda tag: F.concat(tag, balanced(_behind(piece, tag), _name_of(tag))))
+    tag = re.match(r"<[^>]*>", piece)
+    if not tag:
+        return piece
+    return tag[0] + balanced(piece, tag.end(), _TAG.match(piece)[2].lower())
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card: the first kind of card element that occurs on the page decides. A card ends
     where its element is closed, or where the next one begins."""
-    pages = pages.withColumn(html, double_quoted(html))
-    tries = []
-    for start in CARD_STARTS:
-        # The blank makes a head, also for a page that begins with a card.
-        pieces = F.split(F.concat(F.lit(" "), F.col(html)), rf"(?i)(?={start})")
-        cards = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _element)
-        tries.append(F.when((F.size(pieces) > 1) & F.col(html).rlike(f"(?i){start}"), cards))
-    found = pages.withColumn("__cards", F.coalesce(*tries))
+    @F.pandas_udf("array<string>")
+    def cards(column: pd.Series) -> pd.Series:
+        return pd.Series([_cards(h) for h in column], dtype=object)
+
+    found = pages.withColumn("__cards", cards.asNondeterministic()(double_quoted(html)))
     return found.select(
         *[c for c in pages.columns if c != html], F.posexplode("__cards").alias("card_no", "card")
     )
@@ -112,36 +135,33 @@ def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def parse_card(cards: DataFrame, base_url: str, card: str = "card") -> DataFrame:
     """Typed fields of each card; a card without a price is dropped."""
-    full = strip_tags(card)
-    price_text = F.coalesce(
-        inner_text(card, r'data-qa="price"'), inner_text(card, r'class="[^"]*(?:price|precio)[^"]*"')
+    texts = inner_texts(
+        card,
+        price=[r'data-qa="price"', r'class="[^"]*(?:price|precio)[^"]*"'],
+        title=['data-qa="posting-title"'],
+        description=['data-qa="posting-description"', r'class="[^"]*(?:desc|body|detail|summary)[^"]*"'],
+        address=[
+            'data-qa="posting-location"', r'data-qa="[^"]*(?:location|address)[^"]*"',
+            r'class="[^"]*(?:location|address|colonia|zona|lugar)[^"]*"',
+        ],
     )
+    cards = cards.withColumns({"__full": strip_tags(card), "__texts": texts})
     title = F.coalesce(
-        inner_text(card, 'data-qa="posting-title"'),
+        F.col("__texts.title"),
         F.nullif(
             strip_tags(capture(card, r'(?is)<h[234][^>]*class="[^"]*(?:title|name|heading)[^"]*"[^>]*>(.*?)</h')),
             F.lit(""),
         ),
         F.lit(""),
     )
-    description = F.coalesce(
-        inner_text(card, 'data-qa="posting-description"'),
-        inner_text(card, r'class="[^"]*(?:desc|body|detail|summary)[^"]*"'),
-        F.substring(full, 1, 300),
-    )
-    address = F.coalesce(
-        inner_text(card, 'data-qa="posting-location"'),
-        inner_text(card, r'data-qa="[^"]*(?:location|address)[^"]*"'),
-        inner_text(card, r'class="[^"]*(?:location|address|colonia|zona|lugar)[^"]*"'),
-        F.lit(""),
-    )
-    staged = cards.withColumn("__full", full).withColumn("name", title).withColumn("description", description)
+    description = F.coalesce(F.col("__texts.description"), F.substring("__full", 1, 300))
+    staged = cards.withColumn("name", title).withColumn("description", description)
     out = staged.select(
-        *[c for c in cards.columns if c != card],
+        *[c for c in cards.columns if c not in (card, "__full", "__texts")],
         "name",
         "description",
-        address.alias("address"),
-        parse_price(price_text).alias("price"),
+        F.coalesce("__texts.address", F.lit("")).alias("address"),
+        parse_price("__texts.price").alias("price"),
         abs_url(base_url, capture(card, r'(?is)<a[^>]*href="([^"]*)"')).alias("source_url"),
         classify_type(F.concat_ws(" ", "name", "description")).alias("property_type"),
         is_owner("__full").alias("is_owner"),
@@ -228,7 +248,7 @@ def parse_detail(pages: DataFrame, html: str = "html", url: str = "url") -> Data
     """One listing per detail page: its JSON-LD if it has one, else heading, price and description."""
     pages = pages.withColumn(html, double_quoted(html))
     h1 = F.coalesce(strip_tags(capture(html, r"(?is)<h1[^>]*>(.*?)</h1>")), F.lit(""))
-    price = parse_price(inner_text(html, r'class="[^"]*(?:price|precio)[^"]*"'))
+    price = parse_price("__texts.price")
     meta = F.coalesce(capture(html, r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"'), F.lit(""))
     js = F.trim(capture(html, JSONLD_SCRIPT))
     objects = F.when(js.startswith("["), F.from_json(js, f"ARRAY<{JSONLD_ITEM}>")).otherwise(
@@ -236,7 +256,8 @@ def parse_detail(pages: DataFrame, html: str = "html", url: str = "url") -> Data
     )
     good = F.filter(objects, lambda o: o["@type"].isin(fixed.DETAIL_TYPES))
     body = strip_tags(F.regexp_replace(F.col(html), r"(?is)<(script|style)[^>]*>.*?</\1>", " "))
-    staged = pages.withColumn("ld", F.get(good, F.lit(0))).withColumn("__body", body)
+    texts = inner_texts(html, price=[r'class="[^"]*(?:price|precio)[^"]*"'])
+    staged = pages.withColumns({"ld": F.get(good, F.lit(0)), "__body": body, "__texts": texts})
     ld_price = parse_price(F.coalesce(F.col("ld.offers.price"), F.col("ld.price")))
     use_ld = F.coalesce(ld_price > 0, F.lit(False))
     attrs = extract_attrs("__body")
