@@ -56,3 +56,12 @@ def test_odd_rows(spark):
 def test_cheapest_flips_first():
     margins = np.array([[0.1, -2.0, 0.3, 5.0]])
     assert probe_order(margins, 4).tolist() == [[0, 1, 4, 5]]
+
+
+def test_visits_are_sent_in_slices(spark, monkeypatch):
+    """Slices of any size give the same rows; whole batches of eight copies of each question were sent at once."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)], SCHEMA)
+    want = result(approximate_cosine_topk(rows.withColumnRenamed("id", "qid"), rows, 3, bucket=32))
+    monkeypatch.setattr("valora.operators.approximate.SENT", 37)
+    assert result(approximate_cosine_topk(rows.withColumnRenamed("id", "qid"), rows, 3, bucket=32)) == want

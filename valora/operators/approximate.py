@@ -22,6 +22,7 @@ from valora.session import materialize
 
 SEED = 20
 MAX_BITS = 24
+SENT = 4096  # visits sent at once
 
 
 def planes(table: int, bits: int, dim: int) -> np.ndarray:
@@ -83,7 +84,10 @@ def approximate_cosine_topk(
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for table, rows, found in codes(pdf, probes) if len(pdf) else ():
-                yield pdf.iloc[np.repeat(rows, found.shape[1])].assign(t=np.int32(table), code=found.reshape(-1))
+                # A question takes its vector along to every bucket.
+                who, code = np.repeat(rows, found.shape[1]), found.reshape(-1)
+                for at in range(0, len(who), SENT):
+                    yield pdf.iloc[who[at:at + SENT]].assign(t=np.int32(table), code=code[at:at + SENT])
 
     cell = ["t", "code"]
     placed = materialize(base.mapInPandas(place, "v array<double>, ids array<bigint>, rep bigint, t int, code bigint"), "buckets")
