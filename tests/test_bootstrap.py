@@ -67,3 +67,11 @@ def test_regression_intervals(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id INT, v DOUBLE")
     assert sampling.bootstrap_means(empty, "id", "v", 10, 1).count() == 0
+
+
+def test_undecided_draws_take_the_last_mixing_step():
+    """Draws whose upper bits do not tell their weight, among many."""
+    seeds = np.arange(40, dtype=np.uint64) * np.uint64(0x5DEECE66D)
+    w = sampling.poisson_weights(seeds, 7, 2007)
+    assert w.dtype == np.uint8 and w.max() < sampling.UNSURE
+    assert all(w[i, b] == one_weight(int(seeds[i]), b + 7) for i in range(40) for b in range(2000))

@@ -78,13 +78,19 @@ def poisson_weights(seeds: np.ndarray, first: int, last: int) -> np.ndarray:
     draw b of a row are its seed plus (b + 1) steps, mixed."""
     x = seeds.astype(np.uint64)[:, None] + np.arange(first + 1, last + 1, dtype=np.uint64) * GOLDEN
     shifted = np.empty_like(x)
-    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         np.right_shift(x, np.uint64(bits), out=shifted)
         np.bitwise_xor(x, shifted, out=x)
         np.multiply(x, np.uint64(factor), out=x)
-    weights = _by_high_bits()[np.right_shift(x, np.uint64(48), out=shifted).astype(np.uint16)]
-    unsure = np.nonzero(weights == UNSURE)
-    weights[unsure] = np.searchsorted(poisson_cuts(), x[unsure], side="right")
+    # The last step, x ^= x >> 31, leaves the upper bits as they are: only what they do not decide takes it.
+    np.right_shift(x, np.uint64(48), out=shifted)
+    weights = np.empty(x.shape, dtype=np.uint8)
+    np.take(_by_high_bits(), shifted.view(np.int64), out=weights, mode="clip")
+    # Few rows hold an unsure draw, and a maximum costs less than a search for it.
+    some = np.flatnonzero(weights.max(axis=1, initial=0) == UNSURE)
+    row, at = np.nonzero(weights[some] == UNSURE)
+    rest = x[some[row], at]
+    weights[some[row], at] = np.searchsorted(poisson_cuts(), rest ^ (rest >> np.uint64(31)), side="right")
     return weights
 
 
