@@ -32,3 +32,18 @@ def test_residual_shape_has_no_python_worker_and_is_right(spark):
         below, upto = np.searchsorted(v, v, "left") / len(v), np.searchsorted(v, v, "right") / len(v)
         assert abs(row.ks - max((p - below).max(), (upto - p).max())) <= 1e-4
         assert abs(row["mean"] - v.mean()) <= 1e-4 and abs(row["sd"] - v.std()) <= 1e-4 and abs(row["skew"] - (z**3).mean()) <= 1e-4
+
+
+def test_residuals_of_few_cells_are_put_in_order(spark, monkeypatch):
+    """The largest gap is found, and the cells that cannot hold it are not ordered."""
+    ordered, running = [], models.running_before
+    monkeypatch.setattr(models, "running_before", lambda df, keys, *rest: ordered.append(df.count()) or running(df, keys, *rest))
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(0, 1, 8000) ** 3, "b": rng.uniform(-5, 90, 8000), None: rng.exponential(2, 4000)}
+    got = models.residual_shape(spark.createDataFrame([(m, float(x)) for m, v in data.items() for x in v], "model STRING, r DOUBLE"), "r").collect()
+    assert ordered[-1] < 4000 and len(got) == 3
+    for row in got:
+        v = np.sort(data[row.model])
+        p = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in (v - v.mean()) / v.std()])
+        at = np.arange(len(v))
+        assert abs(row.ks - max((p - at / len(v)).max(), ((at + 1) / len(v) - p).max())) <= 1e-4

@@ -279,20 +279,37 @@ def principal_components(df: DataFrame, cols: Sequence[str], k: int = 2) -> Data
     return got.select(*df.columns, *[F.col("__pc")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
+CELLS, FAR = 4096, 8.0  # cells of a standard deviation in which residuals are counted, and where the last ones begin
+
+
 def residual_shape(df: DataFrame, res: str, by: str = "model") -> DataFrame:
     """Mean, sd, skewness, kurtosis and the distance of the residuals from a normal distribution.
 
     The distance is the largest gap between the normal distribution and the running share of the rows,
-    just before and at every distinct residual (null where all residuals are equal).
+    just before and at every distinct residual (null where all residuals are equal). Residuals are counted in
+    cells first; the counts and ends of a cell bound its gaps, and only residuals of cells that can hold the largest are
+    put in order.
     """
     base = df.groupBy(by).agg(
         F.count(res).alias("n"), F.avg(res).alias("mean"), F.stddev_pop(res).alias("sd"), F.skewness(res).alias("skew"), F.kurtosis(res).alias("kurt")
     )
     stats = materialize(base, "shape")
-    counts = df.where(F.col(res).isNotNull()).groupBy(by, F.col(res).alias("r")).agg(F.count("*").alias("k"))
-    ranked = running_before(materialize(counts, "residuals"), [by], [F.col("r")], F.col("k"))
-    rows = encode.attach(ranked, stats.select(by, "n", "mean", "sd"), [by], store=False).where("sd > 0")
-    p = normal_cdf((F.col("r") - F.col("mean")) / F.col("sd"))
-    gap = F.greatest(p - F.col("before") / F.col("n"), (F.col("before") + F.col("k")) / F.col("n") - p)
-    dist = rows.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"))
-    return stats.join(dist, by, "left").select(by, "n", *[half_up(c, 4).alias(c) for c in ("mean", "sd", "skew", "kurt", "ks")])
+    shape = stats.where("sd > 0").select(by, F.col("n").alias("all"), "mean", "sd")
+    rows = encode.attach(df.select(by, F.col(res).alias("r")).where("r IS NOT NULL"), shape, [by], store=False).where("sd > 0")
+    p = lambda r: normal_cdf((F.col(r) - F.col("mean")) / F.col("sd"))
+    z = (F.col("r") - F.col("mean")) / F.col("sd")
+    rows = rows.withColumn("cell", F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), z)) * CELLS).cast("int"))
+    cells = materialize(rows.groupBy(by, "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")), "cells")
+    cells = encode.attach(running_before(cells, [by], [F.col("cell")], F.col("n")), shape, [by], store=False)
+    start, end = F.col("before") / F.col("all"), (F.col("before") + F.col("n")) / F.col("all")
+    cells = cells.select(by, "cell", F.col("before").alias("earlier"), F.greatest(p("lo") - start, end - p("hi")).alias("least"), F.greatest(p("hi") - start, end - p("lo")).alias("most"))
+    cells = materialize(cells, "cells")
+    least = cells.groupBy(by).agg(F.max("least").alias("bar"))
+    wanted = materialize(encode.attach(cells, least, [by]).where(F.col("most") >= F.col("bar") - 1e-12).select(by, "cell", "earlier"), "wanted")
+    counts = rows.join(wanted.select(F.col(by).alias("__by"), F.col("cell").alias("__cell")), F.col(by).eqNullSafe(F.col("__by")) & (F.col("cell") == F.col("__cell")), "left_semi")
+    counts = materialize(counts.groupBy(by, "cell", "r").agg(F.count("*").alias("k")), "residuals")
+    ranked = encode.attach(running_before(counts, [by, "cell"], [F.col("r")], F.col("k")), wanted, [by, "cell"], store=False)
+    ranked = encode.attach(ranked, shape, [by], store=False).withColumn("before", F.col("before") + F.col("earlier"))
+    gap = F.greatest(p("r") - F.col("before") / F.col("all"), (F.col("before") + F.col("k")) / F.col("all") - p("r"))
+    dist = ranked.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"))
+    return encode.attach(stats, dist, [by], store=False).select(by, "n", *[half_up(c, 4).alias(c) for c in ("mean", "sd", "skew", "kurt", "ks")])
