@@ -104,3 +104,21 @@ def test_search_in_many_small_blocks(spark, monkeypatch):
     asks = [(i, f"casa w{i} w{i + 1} de") for i in range(5)] + [(5, "nada"), (6, "otra otra")]
     questions, texts = (spark.createDataFrame(rows, f"{key} long, text string") for rows, key in ((asks, "qid"), (docs, "id")))
     near(result(bm25_topk(questions, texts, 4)), brute(asks, docs, 4))
+
+
+def test_documents_are_scored_in_many_parts(spark, tmp_path, monkeypatch):
+    """Parts of 50 documents and 3 queries give the same, and their hash is the one that Spark dealt the blocks by."""
+    monkeypatch.setattr(word_index, "BLOCK", 8)
+    monkeypatch.setattr(word_index, "DOCS", 50)
+    monkeypatch.setattr(word_index, "QUERIES", 3)
+    rnd = random.Random(5)
+    docs = [(rnd.choice([-1, 1]) * i * 10**12 + i, " ".join(rnd.choices([f"w{j}" for j in range(90)], [1 / (j + 1) for j in range(90)], k=rnd.randint(0, 70)))) for i in range(600)]
+    asks = [(q, " ".join(rnd.choices([f"w{j}" for j in range(95)], k=rnd.randint(1, 9)))) for q in range(20)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} LONG, text STRING")
+    hashed = frame(docs, "id").select("id", F.xxhash64("id").alias("h")).collect()
+    assert word_index._hash(word_index.np.array([r.id for r in hashed])).tolist() == [r.h for r in hashed]
+    word_index.add_segment(frame(docs, "id"), str(tmp_path / "index"))
+    hits = word_index.search(spark, str(tmp_path / "index"), frame(asks, "qid"), 4, seed_postings=60)
+    near(result(hits.rows), brute(asks, docs, 4))
+    read = hits.read.first()
+    assert 0 < read.postings_read < read.postings
