@@ -19,7 +19,7 @@ from valora.llm.components import connected_components
 
 BITS = 64
 STEP = 8  # levels of the trie counted at a time
-FRONTIER = 1 << 20  # node pairs held at a time
+FRONTIER = 1 << 17  # node pairs held at a time
 SLICE = 4096  # fingerprints that travel in one row
 SMALL = 64  # node pairs with so few leaf pairs are compared leaf by leaf
 

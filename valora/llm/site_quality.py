@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.llm.common import materialize, text_or_empty
+from valora.llm.tokens import forget
 
 SYMBOLS = "*%$&#|!"  # counted one by one
 UPPER, DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
@@ -105,6 +106,7 @@ def score_documents(
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
+        forget()
         x = _squares(np.array([measures(t) for t in texts]).reshape(-1, N_MEASURES))
         return pd.Series(np.clip(bias + x @ weights, -clip, clip))
 

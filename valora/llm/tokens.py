@@ -18,6 +18,11 @@ def encoder(path: str, cache_rows: int = 1_200_000) -> "ChunkEncoder":
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker process: stages that do not encode run in workers that did, and need the memory."""
+    _ENCODERS.clear()
+
+
 class ChunkEncoder:
     """Encodes texts cut at blanks, each distinct chunk once, as the library does by default.
 
