@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F, types as T
 
 from valora.llm import catalog
-from valora.llm.bpe import decode, encode_documents, read_ranks
+from valora.llm.bpe import byte_literal, decode, encode_documents, fold_word, let, rank_literal, read_ranks
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.StringType()),
@@ -39,3 +39,15 @@ def test_given_documents(spark, sf_dir, library):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         assert got.pop(d.doc_id) == (len(ids), sha(",".join(map(str, ids)).encode()), sha((d.text or "").encode()))
     assert not got
+
+
+def test_fold(spark, library):
+    ranks = read_ranks(PATH)
+    # A step's cost is its array expressions, which Spark interprets: it rebuilds one array, by two slices.
+    fold = fold_word(F.col("w"), F.col("r"), F.col("b"))
+    assert str(fold).count("slice(") <= 4 and "concat(" not in str(fold)
+    words = ["a" * 64, "ab" * 32, "aab" * 21, "\U0001d518" * 16, "b" + "a" * 62, "zq", " unleenauxeau", " Enoublereeringes", "x"]
+    rows = [(i, list(w.encode())) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "i int, w array<int>")
+    for r in df.select("i", let(rank_literal(ranks), lambda r: let(byte_literal(ranks), lambda b: fold_word(F.col("w"), r, b))).alias("ids")).collect():
+        assert r.ids == library._encode_single_piece(words[r.i].encode())

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from valora.llm.common import text_or_empty
 
 BUCKETS = 65_521  # a prime, so that both ids of a pair count
-ID_RANGE = 1 << 17  # more than any id
+# A fold's state is an array of entries: rank of the piece and the next one joined, place of the piece, id of the piece.
+ID_BITS, PLACE_BITS = 18, 7
+RANK_AT = ID_BITS + PLACE_BITS
+NO_ID = 1 << 17  # more than any id: the rank of pairs that do not merge, and the piece at both ends
 BLOCK_CHARS = 32_000_000
 LONG_WORD = 64  # bytes; a fold costs the square of a word's length, so longer words take the library's own merge
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the pattern
@@ -31,28 +34,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _key(left, right):
-    """One number for a pair of ids, larger than any id."""
-    return (left + 1) * ID_RANGE + right
-
-
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """Buckets of ``null, pair, id, pair, id ...``: behind each pair stands the id of its two pieces joined."""
-    if max(ranks.values()) >= ID_RANGE:
-        raise ValueError(f"ids must be below {ID_RANGE}")
-    buckets: list[list[int | None]] = [[] for _ in range(BUCKETS)]
+    """Buckets of ``none, pair, rank, pair, rank ...``: behind each pair stands the id of its two pieces joined."""
+    if max(ranks.values()) >= NO_ID:
+        raise ValueError(f"ids must be below {NO_ID}")
+    buckets: list[list[int]] = [[NO_ID << RANK_AT] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
-                key = _key(left, right)
-                bucket = buckets[key % BUCKETS]
-                bucket += [key, rank] if bucket else [None, key, rank]
+                key = (left << ID_BITS) + right - (1 << 2 * ID_BITS)  # below zero, so no rank is taken for a pair
+                buckets[key % BUCKETS] += [key, rank << RANK_AT]
     return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
 
 
 def byte_literal(ranks: dict[bytes, int]) -> Column:
-    return F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+    """Entry, without its place, of each byte in front of each byte, and in front of the end (256)."""
+    first = [ranks[bytes([b])] for b in range(256)]
+    pairs = [[*(ranks.get(bytes([b, c]), NO_ID) for c in range(256)), NO_ID] for b in range(256)]
+    return F.from_json(F.lit(json.dumps([(rank << RANK_AT) + i for i, row in zip(first, pairs) for rank in row])), "array<bigint>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -65,38 +65,38 @@ def piece_literal(ranks: dict[bytes, int]) -> Column:
 
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_word(word: Column, ranks: Column, first: Column) -> Column:
-    """Ids of one word (an array of its bytes); ``ranks`` and ``first`` are the literals of pairs and of single bytes."""
+    """Ids of one word (an array of its bytes); ``ranks`` and ``first`` are the literals of pairs and of single bytes.
 
-    def rank(left: Column, right: Column) -> Column:
-        # The place of an absent pair is 0, where a bucket holds null.
-        return let(_key(left, right), lambda key: let(
-            F.get(ranks, F.pmod(key, F.lit(BUCKETS)).cast("int")), lambda bucket: F.get(bucket, F.array_position(bucket, key).cast("int"))))
+    The state is one array of entries, with an end before and behind, so that every pair has two neighbours. Its
+    smallest entry is the leftmost pair of the smallest rank, since the place counts next; a merge makes two entries new.
+    """
+    id_mask, low_mask = (F.lit((1 << n) - 1).cast("long") for n in (ID_BITS, RANK_AT))
+    place_mask, ends = F.lit((1 << RANK_AT) - (1 << ID_BITS)).cast("long"), F.lit((NO_ID << RANK_AT) + NO_ID).cast("long")
 
-    # A null at both ends gives every pair two neighbours; pairs[i] belongs to ids[i] and ids[i + 1].
-    def start(ids: Column) -> Column:
-        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: rank(x, F.get(ids, i + 1)))
-        return F.struct(ids.alias("ids"), pairs.alias("pairs"))
+    def entry(x: Column) -> Column:
+        # x is the place, the id and the next id; where the pair is absent its position is 0, and there the bucket has NO_ID.
+        key = x.bitwiseOR(F.lit(-1 << 2 * ID_BITS).cast("long"))
+        return let(F.get(ranks, F.pmod(key, F.lit(BUCKETS)).cast("int")), lambda bucket: F.get(
+            bucket, F.array_position(bucket, key).cast("int")).bitwiseOR(F.shiftright(x, ID_BITS)))
 
     def merge(state: Column, _: Column) -> Column:
-        ids, pairs = state["ids"], state["pairs"]
-
-        def join(best: Column, at: Column) -> Column:
-            return F.struct(
-                F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(
-                    F.slice(pairs, 1, at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))),
-                    F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"))
-
-        return let(F.array_min(pairs), lambda best: F.when(best.isNull(), state).otherwise(
-            let(F.array_position(pairs, best).cast("int"), lambda at: join(best, at))))
-
-    none = F.array(F.lit(None).cast("long"))
-    ids = F.concat(none, F.transform(word, lambda b: F.get(first, b)), none)
-    return F.aggregate(F.slice(word, 2, F.size(word)), let(ids, start), merge, lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2).cast("array<int>"))
+        def join(least: Column, at: Column) -> Column:
+            best = F.shiftright(least, RANK_AT)
+            before = F.shiftleft(F.get(state, at - 2).bitwiseAND(low_mask), ID_BITS).bitwiseOR(best)
+            here = F.shiftleft(least.bitwiseAND(place_mask).bitwiseOR(best), ID_BITS).bitwiseOR(F.get(state, at + 1).bitwiseAND(id_mask))
+            return F.flatten(F.array(F.slice(state, 1, at - 2), F.transform(F.array(before, here), entry), F.slice(state, at + 2, 2 * LONG_WORD)))
+
+        return let(F.array_min(state), lambda least: F.when(least >= NO_ID << RANK_AT, state).otherwise(
+            let(F.array_position(state, least).cast("int"), lambda at: join(least, at))))
+
+    start = F.transform(word, lambda b, i: F.get(first, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))) + F.shiftleft(i + 1, ID_BITS))
+    state = F.flatten(F.array(F.array(ends), start, F.array(ends)))
+    return F.aggregate(F.slice(word, 2, F.size(word)), state, merge, lambda s: F.transform(
+        F.slice(s, 2, F.size(s) - 2), lambda x: x.bitwiseAND(id_mask).cast("int")))
 
 
 class _Blocks:
