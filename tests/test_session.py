@@ -29,3 +29,14 @@ def test_tables_go_with_their_block(spark):
     assert stored(spark) == after
     materialize(spark.range(3).toDF("x"), "outside")
     assert len(stored(spark)) == len(after) + 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They filled the disk: files of finished steps stayed until the driver collected its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in map(manager.getAllFiles().apply, range(manager.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    with temporary_tables(spark):
+        counts = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        assert not files() - before
+        assert counts.count() == 7
