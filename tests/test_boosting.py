@@ -129,3 +129,46 @@ def test_bin_numbers_are_read_where_they_lie():
     assert got.tolist() == [[2, 3, 255], [3, 4, 255], [4, 5, 255]]
     assert np.shares_memory(got, np.frombuffer(column.buffers()[2], np.uint8))
     assert boosting._matrix(column[:0], 3).shape == (0, 3)
+
+
+def test_one_job_grows_the_trees_of_a_job_for_each_level(spark, monkeypatch):
+    rows, labels = sample(missing=0.2)
+    s = Settings(trees=7, depth=3, step=0.3)
+    got = []
+    for tasks in (0, 1, 3):
+        monkeypatch.setattr(boosting, "tasks_together", lambda *_: tasks)
+        predictions, trees, gains = fitted(spark, rows, labels, s)
+        got.append((predictions.tolist(), [t.pack() for t in trees], gains.tolist()))
+    assert got[0] == got[1] == got[2] and sum(max(t["feature"]) >= 0 for t in got[0][1]) == 7
+
+
+def test_trees_of_few_rows_take_one_job(spark):
+    """500 trees were 2,500 jobs."""
+    rows, labels = sample()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("trees", "trees")
+    try:
+        fitted(spark, rows, labels, Settings(trees=30, depth=4))
+        assert len(tracker.getJobIdsForGroup("trees")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_in_parts_and_files_give_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, width = 500, 3
+    bins = rng.integers(0, 9, (n, width)).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.1] = boosting.MISSING
+    raw = pa.array([r.tobytes() for r in bins], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 2**62, n)), pa.array(rng.normal(size=n)), raw, pa.array(np.zeros(n))], ["key", "label", "bins", "pred"])
+    cuts, s, got = [np.arange(1.0, 9)] * width, Settings(trees=3, depth=3), []
+    for part, block, kept in ((1 << 20, 1 << 15, 8), (64, 10, 2)):
+        for name, value in (("PART", part), ("BLOCK", block), ("IN_MEMORY", kept)):
+            monkeypatch.setattr(boosting, name, value)
+        rows, trees = boosting._Rows((batch.slice(i, 50) for i in range(0, n, 50)), cuts, 1e-6, s), []
+        for t in range(s.trees):
+            rows.start(t)
+            trees.append(boosting._grow(rows.sums, cuts, 1e-6, s, t, np.zeros(width)))
+            rows.finish(trees[-1])
+        got.append(([t.pack() for t in trees], np.concatenate([p[2] for p in rows.parts]).tolist(), len(rows.parts)))
+    assert got[0][:2] == got[1][:2] and (got[0][2], got[1][2]) == (1, 5)
