@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from valora.operators import boosting, models
 from valora.operators.boosting import Settings
+from valora.plans.catalog import QUERIES
 
 
 def soft(g, alpha):
@@ -172,3 +173,18 @@ def test_rows_in_parts_and_files_give_the_same_sums(monkeypatch):
             rows.finish(trees[-1])
         got.append(([t.pack() for t in trees], np.concatenate([p[2] for p in rows.parts]).tolist(), len(rows.parts)))
     assert got[0][:2] == got[1][:2] and (got[0][2], got[1][2]) == (1, 5)
+
+
+class Asked(Exception):
+    """Trees and depth a query asks for."""
+
+
+@pytest.mark.parametrize("name", ["k13_price_model"])
+def test_registered_models_grow_all_trees(spark, sf_dir, monkeypatch, name):
+    def boosting(max_iter=500, depth=5, **_):
+        raise Asked(max_iter, depth)
+
+    monkeypatch.setattr(models, "gradient_boosting", boosting)
+    with pytest.raises(Asked) as got:
+        QUERIES[name](spark, sf_dir)
+    assert got.value.args == (500, 5)

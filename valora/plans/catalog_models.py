@@ -68,7 +68,7 @@ def _(c: Context) -> DataFrame:
 
 @query("k13_price_model")
 def _(c: Context) -> DataFrame:
-    model, rows = models.fit_price_model(window(c), max_iter=TREES, features=FEATURES)
+    model, rows = models.fit_price_model(window(c), features=FEATURES)
     return rounded(models.test_metrics(model, rows))
 
 
