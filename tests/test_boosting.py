@@ -179,7 +179,7 @@ class Asked(Exception):
     """Trees and depth a query asks for."""
 
 
-@pytest.mark.parametrize("name", ["k13_price_model"])
+@pytest.mark.parametrize("name", ["k13_price_model", "k15_cross_validation", "k18_feature_ablation", "k19_encoding_leakage", "k20_target_transforms", "k21_multi_seed"])
 def test_registered_models_grow_all_trees(spark, sf_dir, monkeypatch, name):
     def boosting(max_iter=500, depth=5, **_):
         raise Asked(max_iter, depth)
@@ -188,3 +188,11 @@ def test_registered_models_grow_all_trees(spark, sf_dir, monkeypatch, name):
     with pytest.raises(Asked) as got:
         QUERIES[name](spark, sf_dir)
     assert got.value.args == (500, 5)
+
+
+def test_compared_models_grow_all_trees(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "gradient_boosting", lambda max_iter=500, depth=5, **_: asked.append((max_iter, depth)) or models.linear())
+    monkeypatch.setattr(models, "random_forest", lambda trees=300, depth=8, **_: asked.append((trees, depth)) or models.linear())
+    assert QUERIES["k16_compare_models"](spark, sf_dir).count() == 3
+    assert asked == [(300, 8), (500, 5)]
