@@ -1,5 +1,7 @@
 """Page extraction on hand-written markup."""
 
+from pyspark.sql import functions as F
+
 from valora.sources import pages
 
 
@@ -115,3 +117,20 @@ def test_end_of_an_element():
     html = "<div>a<DIV/>b<div>c</div><br>d</Div>e</div>"
     assert pages.balanced(html, 5, "div") == "a<DIV/>b<div>c</div><br>d"
     assert pages.balanced("a</p>b", 0, "div") == "a</p>b"
+
+
+def test_pages_are_read_once(spark):
+    """Patterns ran four times over each page, twice over those with JSON-LD."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(html):
+        seen.add(1)
+        return html
+
+    ld = '<script type="application/ld+json">{"@type": "Apartment", "name": "Depto", "url": "/d/2", "price": "8000"}</script>'
+    state = '<script>__NEXT_DATA__ = {"props": {"pageProps": {"postings": [{"price": "7000", "title": "Casa"}]}}};</script>'
+    rows = spark.createDataFrame([(1, CARD), (2, ld), (3, state), (4, "<p>'</p>"), (5, None)], "page_id INT, html STRING")
+    got = pages.extract_listings(rows.withColumn("html", counted.asNondeterministic()("html")), "https://x.org", "page_id").collect()
+    assert sorted((r.page_id, r.price) for r in got) == [(1, 9500.0), (2, 8000.0), (3, 7000.0)]
+    assert seen.value == 5

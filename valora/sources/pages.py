@@ -16,6 +16,7 @@ from valora.functions.numeric import col
 from valora.functions.parse import (
     abs_url, capture, classify_type, extract_attrs, extract_phone, is_owner, parse_price,
 )
+from valora.session import materialize
 
 # --- fixed values: start tags of a result card, in order of preference ---------------------
 CARD_STARTS = [
@@ -97,7 +98,8 @@ def inner_texts(c: str | Column, **starts: Sequence[str]) -> Column:
 
 def double_quoted(html: str | Column) -> Column:
     """Attributes in single quotes, inside tags, put in double quotes; nothing else changes."""
-    return F.regexp_replace(col(html), r"(?<=[\w-])\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '="$1"')
+    replaced = F.regexp_replace(col(html), r"(?<=[\w-])\s*=\s*'([^'\"<>]*)'(?=[^<>]*>)", '="$1"')
+    return F.when(col(html).contains("'"), replaced).otherwise(col(html))
 
 
 def _cards(html: str | None) -> list[str] | None:
@@ -120,14 +122,14 @@ def _element(piece: str) -> str:
     return tag[0] + balanced(piece, tag.end(), _TAG.match(piece)[2].lower())
 
 
-def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract_cards(pages: DataFrame, html: str = "html", quoted: bool = False) -> DataFrame:
     """One row per card: the first kind of card element that occurs on the page decides. A card ends
-    where its element is closed, or where the next one begins."""
+    where its element is closed, or where the next one begins. ``quoted`` pages have been through :func:`double_quoted`."""
     @F.pandas_udf("array<string>")
     def cards(column: pd.Series) -> pd.Series:
         return pd.Series([_cards(h) for h in column], dtype=object)
 
-    found = pages.withColumn("__cards", cards.asNondeterministic()(double_quoted(html)))
+    found = pages.withColumn("__cards", cards.asNondeterministic()(col(html) if quoted else double_quoted(html)))
     return found.select(
         *[c for c in pages.columns if c != html], F.posexplode("__cards").alias("card_no", "card")
     )
@@ -387,10 +389,11 @@ def extract_listings(pages: DataFrame, base_url: str, key: str, html: str = "htm
     def shaped(df: DataFrame) -> DataFrame:
         return df.withColumn("bedrooms", F.col("bedrooms").cast("double")).select(*fields)
 
-    rows = pages.select(key, double_quoted(html).alias(html))
-    has_cards = F.coalesce(F.col(html).rlike("(?i)" + "|".join(CARD_STARTS)), F.lit(False))
-    from_cards = shaped(parse_card(extract_cards(rows.filter(has_cards), html), base_url))
-    plain = rows.filter(~has_cards)
-    from_ld = shaped(extract_jsonld(plain, html))
+    # Patterns run once over a page: what follows reads its pages from the stored table, and JSON-LD rows are stored too.
+    has_cards = F.coalesce(F.col(html).rlike("(?i)" + "|".join(CARD_STARTS)), F.lit(False)).alias("__cards_in")
+    rows = materialize(pages.select(key, double_quoted(html).alias(html)).select(key, html, has_cards), "quoted")
+    from_cards = shaped(parse_card(extract_cards(rows.filter("__cards_in").select(key, html), html, quoted=True), base_url))
+    plain = rows.filter("NOT __cards_in").select(key, html)
+    from_ld = materialize(shaped(extract_jsonld(plain, html)), "json-ld")
     rest = plain.join(from_ld.select(key).distinct(), key, "left_anti")
     return from_cards.unionByName(from_ld).unionByName(shaped(extract_state(rest, base_url, html)))
